@@ -1,0 +1,36 @@
+"""Tables that cut lineage: written as Parquet in the folder that spark.checkpoint.dir names, so they survive a lost executor."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; a folder of our own only where the session names none (tests on one machine)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_waymark_shared", None)
+    if not path:
+        path = f"file://{tempfile.mkdtemp(prefix='waymark-')}"
+        spark._waymark_shared = path
+    return path.rstrip("/")
+
+
+class Store:
+    """Named tables under one run's own folder."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/waymark-{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df once and return a DataFrame that reads what was written."""
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        """Delete a table that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
