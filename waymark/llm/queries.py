@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.exact_dedup import exact_dedup
 from waymark.llm.mixing import mix_sources
+from waymark.llm.packing import pack_documents
+from waymark.llm.toxicity import fit_toxicity, score_toxicity
 from waymark.llm.url_filters import url_filters
 
 
@@ -16,6 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")
+
+
+def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """taken is summed from the mix's pieces."""
     members, pieces = mix_sources(table(spark, sf_dir, "documents"))
@@ -59,6 +81,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_pack_documents": op2_pack_documents,
     "op3_mix_sources": op3_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_url_filters": op10_url_filters,
