@@ -43,7 +43,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = split.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
         groups = store.put(groups.where("n > 1").select("*", F.monotonically_increasing_id().alias("next")), f"groups{k}")
         over = F.col("n").isNull() | (F.octet_length("digit") < width)
-        joined = split.join(groups, ["gid", "digit"], "left").select(
+        # Never a broadcast: the groups grow with the documents.
+        joined = split.join(groups.hint("merge"), ["gid", "digit"], "left").select(
             "doc_id", "text_sha256", F.col("next").alias("gid"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
             F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("keep_id"), F.when(~over, F.col("rest")).alias("rest"),
         )
