@@ -71,8 +71,8 @@ def _draw(n: str, big: str, marked: str, u: str) -> str:
     hi = f"cast(least({n}, {marked}, ceil({mean} + {reach})) as bigint)"
     ratio = f"((cast({marked} as double) - k) * ({n} - k) / ((k + 1.0D) * ({big} - {marked} - {n} + k + 1.0D)))"
     steps = f"sequence({lo}, {hi})"
-    total = f"aggregate({steps}, struct(1.0D as w, 0.0D as s), (a, k) -> struct(a.w * {ratio} as w, a.s + a.w as s), a -> a.s)"
-    return f"aggregate({steps}, struct(1.0D as w, {u} * {total} as left, {hi} as x, false as found), (a, k) -> struct(a.w * {ratio} as w, a.left - a.w as left, if(a.found, a.x, if(a.left <= a.w, k, a.x)) as x, a.found or a.left <= a.w as found), a -> a.x)"
+    total = f"aggregate({steps}, struct(1.0D as w, 0.0D as s), (z, k) -> struct(z.w * {ratio} as w, z.s + z.w as s), z -> z.s)"
+    return f"aggregate({steps}, struct(1.0D as w, {u} * {total} as left, {hi} as x, false as found), (z, k) -> struct(z.w * {ratio} as w, z.left - z.w as left, if(z.found, z.x, if(z.left <= z.w, k, z.x)) as x, z.found or z.left <= z.w as found), z -> z.x)"
 
 
 def splitting_tree(sources: DataFrame, depth: int, seed: int, store: Store) -> DataFrame:
