@@ -1,0 +1,35 @@
+"""Connected components by alternating large-star and small-star steps on an edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from waymark.llm.store import Store
+
+
+def _star(edges: DataFrame, small: bool) -> DataFrame:
+    """edges: (u, v), u > v. Each node's larger (or, for small, smaller) neighbours and itself link to its least neighbour."""
+    if small:
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        near = edges.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        linked = near.unionByName(least.select("u", F.col("m").alias("v")))
+    else:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        linked = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return linked.where("u <> v").distinct()
+
+
+def connected_components(edges: DataFrame, store: Store, name: str) -> DataFrame:
+    """(node, root) for every node of edges (u, v): root is the least node reachable. No edges, no rows."""
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    now, last, k = store.put(now, f"{name}0"), None, 0
+    while True:
+        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == last or not mark[0]:
+            break
+        last, k = mark, k + 1
+        half = store.put(_star(now, small=False), f"{name}{k}-large")
+        now = store.put(_star(half, small=True), f"{name}{k}")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.exact_dedup import exact_dedup
+from waymark.llm.minhash import near_duplicates
 from waymark.llm.mixing import mix_sources
 from waymark.llm.packing import pack_documents
 from waymark.llm.toxicity import fit_toxicity, score_toxicity
@@ -48,6 +49,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(summed, same, "left").select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pack_documents": op2_pack_documents,
     "op3_mix_sources": op3_mix_sources,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_url_filters": op10_url_filters,
 }
@@ -103,6 +109,16 @@ ORACLE_SQL: dict[str, str] = {
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target,
                (CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + least(size, greatest(0, goal % source_size - start)) END)::BIGINT AS taken, source FROM p""",
+    "op4_near_duplicates": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(node, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+        t AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+        SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, root AS component_id, w.doc_id = root AS kept FROM w LEFT JOIN n USING (doc_id) JOIN t ON t.node = w.doc_id""",
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_FOLD} AS t FROM documents), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g USING (t)""",
