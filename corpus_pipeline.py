@@ -1,4 +1,60 @@
-"""The corpus pipeline."""
-STAGES: list = []
+"""The corpus pipeline: toxicity, exact and near duplicates, mixing to target weights, packing.
+
+Each stage is (spark, docs, sf_dir) -> DataFrame over all that its predecessor kept; stages are written as Parquet and
+read again. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.llm.exact_dedup import exact_dedup
+from waymark.llm.minhash import near_duplicates
+from waymark.llm.mixing import mixed_documents
+from waymark.llm.packing import pack_documents
+from waymark.llm.queries import table, tokenizer_path
+from waymark.llm.store import Store
+from waymark.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def _kept(docs: DataFrame, verdict: DataFrame, kept: Column) -> DataFrame:
+    """The rows of docs whose id the verdict keeps; a repeated id stays once for each of its rows."""
+    ids = verdict.where(kept).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, score_toxicity(docs, model), ~F.col("rejected"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, exact_dedup(docs), F.col("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, near_duplicates(docs), F.col("kept"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per document and pass, its text cut to the words that the mix takes."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_duplicates", drop_near_copies), ("mixing", mix), ("packing", pack)]
+
+#: A trained classifier decides the first stage, and the last needs a tokenizer: SQL can't express them.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store.put(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.exact_dedup import exact_dedup
+from waymark.llm.licenses import scan_licenses
+from waymark.llm.media import media_column
 from waymark.llm.minhash import near_duplicates
 from waymark.llm.mixing import mix_sources
 from waymark.llm.packing import pack_documents
+from waymark.llm.quality import fit_quality, score_quality
+from waymark.llm.token_counts import token_counts
 from waymark.llm.toxicity import fit_toxicity, score_toxicity
 from waymark.llm.url_filters import url_filters
 
@@ -57,6 +61,29 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_distinct(F.concat("base_labels", "detections.label")))
+    return found.select(
+        "doc_id", "n_words", F.size("base_starts").cast("long").alias("n_base"), F.array_min("base_starts").alias("first_word"), F.array_max("base_starts").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), "score",
+    )
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_column(table(spark, sf_dir, "documents"), media=False, tensor=False).drop("height", "width")
+
+
 #: The dated log of two block lists and an allow list: list_name, action, pattern, op, listed_at.
 URL_LIST = [
     ("spam", "block", "spam-farm.example.org", "add", "2024-01-15"),
@@ -91,6 +118,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
+    "op7_license_scans": op7_license_scans,
+    "op8_token_counts": op8_token_counts,
+    "op9_media_column": op9_media_column,
     "op10_url_filters": op10_url_filters,
 }
 
