@@ -333,7 +333,7 @@ ORACLE_SQL = {
     "anti_done_pairs": f"WITH {C.SQL_TRAVEL} SELECT x.building AS a, y.building AS b FROM bld x JOIN bld y ON x.building < y.building WHERE (x.building + y.building) % 9 = 0",
     "semi_hubs": f"WITH {C.SQL_TRAVEL}, h AS (SELECT a FROM travel GROUP BY a HAVING sum(minutes) < 190) SELECT a, b, minutes FROM travel WHERE a IN (SELECT a FROM h) AND b IN (SELECT a FROM h)",
     "topn_report": f"WITH {C.SQL_TRAVEL} SELECT t.a, t.b, t.minutes - r.minutes AS gap FROM travel t JOIN travel r ON t.a = r.b AND t.b = r.a ORDER BY gap DESC, t.a, t.b LIMIT 10",
-    "recent_distinct": "SELECT lower(event_type) || '-' || (user_id % 40) AS key, max(event_id) AS "at" FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 10",
+    "recent_distinct": """SELECT lower(event_type) || '-' || (user_id % 40) AS key, max(event_id) AS "at" FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 10""",
     "set_union": "SELECT c_nationkey AS id FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_intersect": "SELECT l_partkey AS id FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT l_partkey FROM lineitem WHERE l_discount > 0.08",
     "set_except": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
