@@ -39,7 +39,7 @@ def parse_meetings(time: Column, rooms: Column) -> Column:
     """
     groups = [F.regexp_extract_all(F.coalesce(time, F.lit("")), F.lit(MEETING), F.lit(i)) for i in range(1, 6)]
     none = F.lower(F.trim(F.coalesce(rooms, F.lit("")))).isin("", "nan", "none")
-    room = F.when(none, F.array().cast("array<string>")).otherwise(F.transform(F.split(rooms, "/"), F.trim))
+    room = F.when(none, F.array().cast("array<string>")).otherwise(F.transform(F.split(rooms, "/"), lambda r: F.trim(r)))
     day = F.array(*[F.lit(d) for d in DAYS])
 
     def one(x: Column, i: Column) -> Column:
