@@ -23,10 +23,12 @@ class Store:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/waymark-{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and return a DataFrame that reads what was written."""
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -34,3 +36,9 @@ class Store:
         """Delete a table that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but those named: what is returned reads only them."""
+        for name in self.names - set(names):
+            self.drop(name)
+        self.names &= set(names)
