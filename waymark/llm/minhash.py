@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.components import connected_components
-from waymark.llm.store import Store
+from waymark.operators.components import connected_components
+from waymark.plans.store import Store
 from waymark.llm.textarrays import NOT_SPACE, Words, batches, fold, mix, shingles
 
 COORDINATES = 1024
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = store.put(placed, "placed")
     tops = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     member = store.put(placed.join(tops.hint("merge"), "root").select("digest", "component_id"), "members")
+    store.keep("sketches", "members")
     out = sketched.select("id", "n", "digest").join(member.hint("merge"), "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from waymark.llm.store import Store
+from waymark.plans.store import Store
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -151,6 +151,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     pieces = pieces.join(deal, ["src", "rank"])
     local = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "h", "size", "pass", "src"), "h", "size", "pass")
     pieces = pieces.select("doc_id", "source", "pass", "n_words", "size", "shard", (F.row_number().over(local) - 1).cast("long").alias("position"))
+    store.keep("placed", "draws", *[f"tree{depth - 1}"] * (depth > 0), *["targets"] * (depth == 0))
     return placed.select("doc_id", "source", "size", "source_size", "target", "taken"), pieces
 
 
