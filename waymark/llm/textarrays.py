@@ -33,7 +33,7 @@ _powers = {"n": 0}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
-        n = max(n, 1 << 16)
+        n = max(n, 1 << 18)
         up, down = np.full(n, _BASE), np.full(n, _INVERSE)
         up[0] = down[0] = 1
         _powers.update(n=n, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
@@ -82,7 +82,7 @@ def shingles(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(total)
 
 
-def batches(texts: list[str | None], most_bytes: int = 1 << 22):
+def batches(texts: list[str | None], most_bytes: int = 1 << 20):
     """Slices of texts of about most_bytes characters each; a longer text is a slice of its own."""
     begin, held = 0, 0
     for i, t in enumerate(texts):

@@ -12,8 +12,10 @@ doesn't see; the language chooses only the threshold, never the score.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +33,24 @@ DIM = 12
 
 @dataclass
 class ConvModel:
-    """tables[width][tap]: 2 * 2^bits x filters, words then stems; weight over the maxima of all filters."""
+    """emb: rows of words, then of stems; kernels[width]: taps x dim x filters; weight over the maxima of all filters."""
 
-    tables: list[list[np.ndarray]]
+    emb: np.ndarray
+    kernels: list[np.ndarray]
     bias: list[np.ndarray]
     weight: np.ndarray
     intercept: float
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.5
 
+    @cached_property
+    def tables(self) -> list[list[np.ndarray]]:
+        """tables[width][tap]: what a word adds to each filter there."""
+        return [[np.ascontiguousarray(self.emb @ tap) for tap in kernel] for kernel in self.kernels]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
     def maxima(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Per text the maximum of each filter, at least 0; texts are ids[first[i]:first[i + 1]]."""
         n = len(first) - 1
@@ -102,7 +113,7 @@ def train(ids: list[np.ndarray], label: np.ndarray, epochs: int | None = None, b
             step += 1
             grads, ge = [np.zeros_like(p) for p in dense], {}
             rows = [ids[i][rng.random(len(ids[i])) >= drop] for i in at]
-            flat = np.concatenate(rows)
+            flat = np.concatenate(rows).astype(np.int64)
             first = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
             used, where = np.unique(flat, return_inverse=True)
             where = where.reshape(flat.shape)
@@ -145,8 +156,7 @@ def train(ids: list[np.ndarray], label: np.ndarray, epochs: int | None = None, b
             # Plain gradient steps: a word moves as often as it decides, so a rare one stays near nothing.
             emb[used] -= word_rate * de
         rate *= 0.85 ** (8 / epochs)
-    tables = [[np.ascontiguousarray(emb @ kernel[j]) for j in range(k)] for k, kernel in zip(WIDTHS, kern, strict=True)]
-    return ConvModel(tables, bias, out[:-1], float(out[-1]))
+    return ConvModel(emb, kern, bias, out[:-1], float(out[-1]))
 
 
 def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
@@ -178,7 +188,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, mark: str, max_rows: int
     return own.join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", mark: str = "toxic") -> ConvModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", mark: str = "toxic") -> ConvModel:
     """Train on at most max_rows labelled documents of each class; four fifths fit, the rest calibrates the thresholds.
 
     Without labelled rows the model scores every text 0.5 below its threshold. Languages with fewer than 20 held rows or
@@ -193,18 +203,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_co
             raw = [ids[i:j].astype("<u4").tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("_h"), b.column("_label"), b.column("lang"), pa.array(raw, pa.binary())], ["h", "label", "lang", "ids"])
 
-    got = sample.select("_h", "_label", lang.alias("lang"), "_text").mapInArrow(hashed, "h long, label int, lang string, ids binary").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
-    label = got["label"].to_numpy().astype(np.float32)
-    ids = [np.frombuffer(x, "<u4").astype(np.int64).reshape(-1, 2) for x in got["ids"].to_pylist()]
-    langs = got["lang"].to_pylist()
-    if not len(ids) or label.min() == label.max():
-        empty = np.zeros((2 << BUCKET_BITS, FILTERS), np.float32)
-        return ConvModel([[empty] * k for k in WIDTHS], [np.zeros(FILTERS, np.float32)] * len(WIDTHS), np.zeros(FILTERS * len(WIDTHS), np.float32), -1e-3)
+    def learned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _learn([r for b in rows for r in b.to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # The sample is bounded, so one task trains; only the model comes to the driver.
+    ids = sample.select("_h", "_label", lang.alias("lang"), "_text").mapInArrow(hashed, "h long, label int, lang string, ids binary")
+    row = ids.repartition(1).mapInArrow(learned, "model binary").first()
+    return pickle.loads(row["model"]) if row else _learn([])
+
+
+def _learn(rows: list[dict]) -> ConvModel:
+    """rows: h, label, lang, ids (table rows of words and stems, little-endian)."""
+    rows = sorted(rows, key=lambda r: (r["h"], r["label"]))
+    label = np.array([r["label"] for r in rows], np.float32)
+    if not rows or label.min() == label.max():
+        return ConvModel(np.zeros((2 << BUCKET_BITS, 1), np.float32), [np.zeros((k, 1, FILTERS), np.float32) for k in WIDTHS], [np.zeros(FILTERS, np.float32)] * len(WIDTHS), np.zeros(FILTERS * len(WIDTHS), np.float32), -1e-3)
+    ids, langs = [np.frombuffer(r["ids"], "<u4").reshape(-1, 2) for r in rows], [r["lang"] for r in rows]
     held = np.arange(len(ids)) % 5 == 4
     model = train([x for x, h in zip(ids, held, strict=True) if not h], label[~held])
     at = np.flatnonzero(held)
     first = np.concatenate([[0], np.cumsum([len(ids[i]) for i in at])]).astype(np.int64)
-    score = model.score(np.concatenate([ids[i] for i in at]), first)
+    score = model.score(np.concatenate([ids[i] for i in at]).astype(np.int64), first)
     model.threshold = best_threshold(score, label[at])
     for name in sorted({x for x in langs if x is not None}):
         own = np.array([langs[i] == name for i in at])
