@@ -157,6 +157,7 @@ def count_feasible(masks: DataFrame, order: list[int]) -> DataFrame:
     each course; slots that no later course uses are cleared from the state first, so more states are equal.
     """
     names = [c for c in masks.columns if c.startswith("m")]
+    masks = masks.persist()  # a request's sections; every level reads them
     state = None
     for i, course in enumerate(order):
         later = masks.where(F.col("course").isin(order[i + 1 :])).agg(*[F.coalesce(F.bit_or(c), F.lit(0).cast("long")).alias(f"l_{c}") for c in names])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine_m, walk_minutes
 from waymark.plans.campus import MatrixParams
+from waymark.plans.store import Store
 
 
 def pair_grid(travel: DataFrame, buildings: DataFrame, params: MatrixParams = MatrixParams()) -> DataFrame:
@@ -28,15 +29,17 @@ def pair_grid(travel: DataFrame, buildings: DataFrame, params: MatrixParams = Ma
 def closure(grid: DataFrame, ids: list[int]) -> DataFrame:
     """a, b, minutes: shortest over all ways through `ids`.
 
-    Doubling min-plus products: each step joins the table with itself on the middle point. ids are a request's
-    buildings; the table has their square.
+    Doubling min-plus products: each step joins the table with itself on the middle point, and is written so that the
+    plan doesn't double with it. ids are a request's buildings; the table has their square.
     """
-    table = grid.where(F.col("a").isin(ids) & F.col("b").isin(ids)).select("a", "b", "minutes")
+    store = Store(grid.sparkSession, "closure")
+    table = store.put(grid.where(F.col("a").isin(ids) & F.col("b").isin(ids)).select("a", "b", "minutes").coalesce(1), "step0")
     steps = 1
     while steps < max(1, len(ids) - 1):
         left = table.select("a", F.col("b").alias("m"), F.col("minutes").alias("x"))
         right = table.select(F.col("a").alias("m"), "b", F.col("minutes").alias("y"))
         table = left.join(right, "m").groupBy("a", "b").agg(F.min(F.col("x") + F.col("y")).alias("minutes"))
+        table = store.put(table.coalesce(1), f"step{steps}")
         steps *= 2
     return table
 
