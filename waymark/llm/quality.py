@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.textarrays import NOT_SPACE, Words, batches
-from waymark.llm.toxicity import labelled_sample
+from waymark.llm.toxicity import labelled_sample, learnable
 
 BINS, COARSE, PAIRS = 32, 8, 8
 
@@ -184,6 +184,7 @@ def train(x: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 12
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", mark: str = "quality") -> AdditiveModel:
     """Fit on at most max_rows labelled documents of each class, weighted back to the classes' shares of the labels.
 
+    Held-out labels (crc32 of the id mod 5 = 0) are read neither for the sample nor for the shares.
     Without labelled rows of both classes every text scores the share of label 1 (0.5 if there is no label).
     """
     sample = labelled_sample(docs, labels, mark, max_rows, id_col, text_col, [])
@@ -200,7 +201,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col
     if not len(label) or label.min() == label.max():
         none = [np.zeros(BINS) for _ in FEATURES]
         return AdditiveModel([np.zeros(0)] * len(FEATURES), none, [], [], 0.0 if not len(label) else (4.0 if label[0] else -4.0))
-    counts = {r[0]: r[1] for r in labels.where(F.col(mark).isin(0, 1)).groupBy(mark).count().collect()}
+    counts = {r[0]: r[1] for r in learnable(labels, mark, id_col).groupBy("_label").count().collect()}
     weight = np.where(label == 1, counts[1] / label.sum(), counts[0] / (1 - label).sum())
     return train(x, label, weight / weight.mean())
 

@@ -16,7 +16,7 @@ from waymark.llm.packing import pack_documents
 from waymark.llm.quality import fit_quality, score_quality
 from waymark.llm.token_counts import token_counts
 from waymark.llm.toxicity import fit_toxicity, score_toxicity
-from waymark.llm.url_filters import url_filters
+from waymark.llm.url_filters import PATH, host_of, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,12 +104,21 @@ URL_LIST = [
 ]
 
 
+def url_log(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The log: the entries above, and a feed that lists every page's own address on one day and takes it off on another."""
+    rows = ", ".join(f"('{a}', '{b}', '{c}', '{d}', date'{e}')" for a, b, c, d, e in URL_LIST)
+    fixed = spark.sql(f"select * from values {rows} as t(list_name, action, pattern, op, listed_at)")
+    k, day = F.col("page_id"), F.expr("date_add(date'2024-01-01', cast(pmod(page_id * 7, 170) as int))")
+    turns = F.array(F.struct(F.lit("add").alias("op"), day.alias("at")), F.struct(F.lit("remove").alias("op"), F.date_add(day, (F.lit(10) + k % 90).cast("int")).alias("at")))
+    fed = pages.select(F.concat(F.lit("feed"), (k % 3).cast("string")).alias("list_name"), F.when(k % 5 == 0, "allow").otherwise("block").alias("action"), F.concat(host_of(F.col("url")), F.regexp_extract("url", PATH, 1)).alias("pattern"), F.explode(turns).alias("t"))
+    return fixed.unionByName(fed.select("list_name", "action", "pattern", "t.op", F.col("t.at").alias("listed_at")))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages has no fetch time: page p counts as fetched p mod 180 days after 2024-01-01."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 180) as int))").alias("fetched_at"))
-    rows = ", ".join(f"('{a}', '{b}', '{c}', '{d}', date'{e}')" for a, b, c, d, e in URL_LIST)
-    entries = spark.sql(f"select * from values {rows} as t(list_name, action, pattern, op, listed_at)")
-    return url_filters(pages, entries)
+    pages = table(spark, sf_dir, "pages")
+    fetched = pages.select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 180) as int))").alias("fetched_at"))
+    return url_filters(fetched, url_log(spark, pages))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -154,11 +163,13 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, {_FOLD} AS t FROM documents), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g USING (t)""",
     "op10_url_filters": f"""
-        WITH e(list_name, action, pattern, op, listed_at) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', '{d}', DATE '{e}')" for a, b, c, d, e in URL_LIST)}),
-        p AS (SELECT page_id, lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1) || '/' AS path,
-                     (DATE '2024-01-01' + (page_id % 180)::INTEGER) AS fetched_at FROM pages),
+        WITH p AS (SELECT page_id, lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_replace(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+', '/', 'g') AS path,
+                     (DATE '2024-01-01' + (page_id % 180)::INTEGER) AS fetched_at, (DATE '2024-01-01' + (page_id * 7 % 170)::INTEGER) AS day FROM pages),
+        fixed(list_name, action, pattern, op, listed_at) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', '{d}', DATE '{e}')" for a, b, c, d, e in URL_LIST)}),
+        fed AS (SELECT 'feed' || (page_id % 3) AS list_name, CASE WHEN page_id % 5 = 0 THEN 'allow' ELSE 'block' END AS action, host || rtrim(path, '/') AS pattern, day, (day + (10 + page_id % 90)::INTEGER) AS off FROM p WHERE host <> ''),
+        e AS (SELECT * FROM fixed UNION ALL SELECT list_name, action, pattern, 'add', day FROM fed UNION ALL SELECT list_name, action, pattern, 'remove', off FROM fed),
         m AS (SELECT page_id, host, fetched_at, e.*, row_number() OVER (PARTITION BY page_id, list_name, action, pattern ORDER BY listed_at DESC, op DESC) AS latest
-              FROM p JOIN e ON listed_at <= fetched_at AND (host = pattern OR host LIKE '%.' || pattern OR (contains(pattern, '/') AND starts_with(host || path, pattern || '/')))),
+              FROM p JOIN e ON listed_at <= fetched_at AND (host = pattern OR host LIKE '%.' || pattern OR (contains(pattern, '/') AND starts_with(host || path || '/', pattern || '/')))),
         a AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, action, list_name) AS best FROM m WHERE latest = 1 AND op = 'add')
         SELECT p.page_id, nullif(p.host, '') AS host, p.fetched_at, coalesce(n, 0) AS n_active, coalesce(action, 'none') AS decision, pattern, list_name, listed_at
         FROM p LEFT JOIN a ON p.page_id = a.page_id AND best = 1""",

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: Byte classes: 1 where the byte is part of a word.
 NOT_SPACE = np.ones(256, np.uint8)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
 ALNUM = np.zeros(256, np.uint8)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = 1
-#: Letters and digits of a lower-cased text, as for words without their punctuation; apostrophes stay inside.
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes than this are hashed one by one, so that a very long word costs no rounds over all others.
+LONG = 256
 
 
 def fold(text: str | None) -> bytes:
@@ -28,18 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = {"n": 0}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        n = max(n, 1 << 18)
-        up, down = np.full(n, _BASE), np.full(n, _INVERSE)
-        up[0] = down[0] = 1
-        _powers.update(n=n, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _powers["up"], _powers["down"]
-
-
 class Words:
     """The words of texts: start and end in `data`, hash, and first[i]:first[i + 1] for text i."""
 
@@ -53,20 +42,28 @@ class Words:
         self.first = np.concatenate([[0], np.searchsorted(self.start, self.ends)]) if texts else np.zeros(1, np.int64)
         self.hash = self._hashes() if hashes else None
 
-    def _hashes(self) -> np.ndarray:
-        # Prefix sums of byte * base^i, so that a word's hash is a difference, brought back to base^0.
-        n = len(self.data)
-        up, self._down = _power_tables(n + 1)
-        self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self._sums[1:])
-        return self._of(self.end)
-
-    def _of(self, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[self.start]) * self._down[self.start] + (end - self.start).astype(np.uint64))
+    def _hashes(self, most: int | None = None) -> np.ndarray:
+        """A chain over eight bytes at a time: each step is a bijection of what came before and of the bytes it adds, so
+        words of equal length that differ in one step never meet, and others do with the chance of random numbers."""
+        length = self.end - self.start
+        if most is not None:
+            length = np.minimum(length, most)
+        blocks = np.ndarray(max(0, len(self.data)), "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+        out = mix(length.astype(np.uint64) + _STEP)
+        live = np.flatnonzero(length <= LONG)
+        for at in range(0, int(length[live].max(initial=0)), 8):
+            live = live[length[live] > at]
+            got = blocks[self.start[live] + at]
+            short = np.minimum(length[live] - at, 8).astype(np.uint64)
+            got &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - short * np.uint64(8))
+            out[live] = mix(out[live] * _STEP + mix(got))
+        for i in np.flatnonzero(length > LONG):
+            out[i] = np.uint64(xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.start[i] + length[i]].tobytes()))
+        return out
 
     def stems(self, most: int) -> np.ndarray:
         """Hash of each word's first `most` bytes."""
-        return self._of(np.minimum(self.end, self.start + most))
+        return self._hashes(most)
 
 
 def shingles(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:

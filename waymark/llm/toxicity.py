@@ -178,10 +178,15 @@ def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
     return float(np.clip((edges[cut] + edges[cut + 1]) / 2, 0.5, 0.95))
 
 
+def learnable(labels: DataFrame, mark: str, id_col: str) -> DataFrame:
+    """Label rows (_id, _label, _h) that a fit may see: marked 0 or 1, with an id, not held out (crc32 mod 5 = 0)."""
+    seen = labels.where(F.col(mark).isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0))
+    return seen.select(F.col(id_col).alias("_id"), F.col(mark).cast("int").alias("_label"), F.xxhash64(F.col(id_col)).alias("_h"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, mark: str, max_rows: int, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
     """At most max_rows labelled rows of each class, lowest hash of the id first; rows held out (crc32 mod 5 = 0) never."""
-    seen = labels.where(F.col(mark).isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0))
-    seen = seen.select(F.col(id_col).alias("_id"), F.col(mark).cast("int").alias("_label"), F.xxhash64(F.col(id_col)).alias("_h"))
+    seen = learnable(labels, mark, id_col)
     halves = [seen.where(F.col("_label") == k).orderBy("_h", "_id").limit(max_rows) for k in (0, 1)]
     picked = halves[0].unionByName(halves[1])
     own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_{c}") for c in columns])

@@ -32,14 +32,22 @@ def candidate_keys(url: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, F.when(F.size(segments) > 0, prefixes).otherwise(F.array().cast("array<string>"))))
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """A list's pattern as candidate keys are written: host in lower case, single slashes, none at the end."""
+    host = F.substring_index(pattern, "/", 1)
+    path = F.regexp_replace(F.substring(pattern, F.length(host) + 1, F.length(pattern)), "/+", "/")
+    return F.concat(F.lower(host), F.regexp_replace(path, "/$", ""))
+
+
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """(list_name, action, pattern, valid_from, valid_to): valid_to is null while the entry stands.
 
+    A pattern's host is lower-cased, its path keeps its case; closing slashes are left out.
     Of events of a list and pattern on one date, a removal wins. An add that follows an add starts a new interval. A
     removal without an add, and rows with a null in any column, have no effect.
     """
     day = entries.dropna(subset=["list_name", "action", "pattern", "op", "listed_at"])
-    day = day.groupBy("list_name", "action", F.lower("pattern").alias("pattern"), "listed_at").agg(F.max(F.col("op") == "remove").alias("removed"))
+    day = day.groupBy("list_name", "action", normal_pattern(F.col("pattern")).alias("pattern"), "listed_at").agg(F.max(F.col("op") == "remove").alias("removed"))
     log = W.partitionBy("list_name", "action", "pattern").orderBy("listed_at")
     spans = day.select("list_name", "action", "pattern", F.col("listed_at").alias("valid_from"), F.lead("listed_at").over(log).alias("valid_to"), "removed")
     return spans.where(~F.col("removed")).drop("removed")
@@ -50,7 +58,8 @@ def url_filters(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
 
     The longest active pattern decides; of equal patterns an allow, then the least list name. decision is 'block',
     'allow' or 'none'. A null or malformed URL, a null time and an empty list give 'none' with n_active 0. Captures
-    that repeat a URL and a time are evaluated once and joined back.
+    that repeat a URL and a time are evaluated once and joined back. A very long URL has a key for each label and path
+    segment. The list may grow with the captures: it is joined by its key, broadcast only where Spark measures it small.
     """
     seen = captures.select(F.col(url_col).alias("u"), F.col(time_col).alias("t")).where("u is not null and t is not null").distinct()
     keys = seen.select("u", "t", F.explode(candidate_keys(F.col("u"))).alias("key"))
