@@ -8,21 +8,30 @@ from pyspark.sql import functions as F
 from waymark.plans.store import Store
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """edges: (u, v), u > v. Each node's larger (or, for small, smaller) neighbours and itself link to its least neighbour."""
+def _star(edges: DataFrame, small: bool, store: Store, name: str) -> DataFrame:
+    """edges: (u, v), u > v. Each node's larger (or, for small, smaller) neighbours and itself link to its least neighbour.
+
+    The least neighbours are written first, so that both sides of the join are plain exchanges: where a hub holds a large
+    share of all edges, adaptive execution deals its edges to several tasks.
+    """
     if small:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = store.put(edges.groupBy("u").agg(F.min("v").alias("m")), name)
         near = edges.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         linked = near.unionByName(least.select("u", F.col("m").alias("v")))
     else:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        linked = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = store.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        # (v, u) with u < v: the larger neighbours v of u.
+        larger = edges.select(F.col("v").alias("u"), F.col("u").alias("far"))
+        linked = larger.join(least.hint("merge"), "u").select(F.col("far").alias("u"), F.col("m").alias("v"))
     return linked.where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, store: Store, name: str) -> DataFrame:
-    """(node, root) for every node of edges (u, v): root is the least node reachable. No edges, no rows."""
+    """(node, root) for every node of edges (u, v): root is the least node reachable. No edges, no rows.
+
+    A round's tables are deleted once the next one is written; the result reads only the last.
+    """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     now, last, k = store.put(now, f"{name}0"), None, 0
     while True:
@@ -30,6 +39,8 @@ def connected_components(edges: DataFrame, store: Store, name: str) -> DataFrame
         if mark == last or not mark[0]:
             break
         last, k = mark, k + 1
-        half = store.put(_star(now, small=False), f"{name}{k}-large")
-        now = store.put(_star(half, small=True), f"{name}{k}")
+        half = store.put(_star(now, False, store, f"{name}{k}-above"), f"{name}{k}-large")
+        now = store.put(_star(half, True, store, f"{name}{k}-below"), f"{name}{k}")
+        for old in (f"{name}{k - 1}", f"{name}{k}-above", f"{name}{k}-large", f"{name}{k}-below"):
+            store.drop(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the session names none (tests on one machine)."""
+    """The cluster's shared folder; a folder of our own only on a local master whose session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_waymark_shared", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='waymark-')}"
         spark._waymark_shared = path
     return path.rstrip("/")
@@ -34,6 +36,7 @@ class Store:
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
+        self.names.discard(name)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -41,4 +44,3 @@ class Store:
         """Delete all tables but those named: what is returned reads only them."""
         for name in self.names - set(names):
             self.drop(name)
-        self.names &= set(names)
