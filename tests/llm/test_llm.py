@@ -157,7 +157,7 @@ def test_packing(spark, rows):
 
     path = tokenizer_path()
     rows = [r for r in rows if r[0] != 5] + [(900, "a <|endoftext|> b", "s")]
-    got = packing.pack_documents(frame(spark, rows), path, flush=20).collect()
+    got = packing.pack_documents(frame(spark, rows), path, chunk=20).collect()
     tok = Tokenizer.from_file(path)
     for d, t, _ in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
@@ -182,7 +182,9 @@ def test_packing(spark, rows):
 def test_best_fit_decreasing(seed):
     rng = random.Random(seed)
     lengths = [rng.randrange(1, 101) for _ in range(300)]
-    where, offset, n = packing.best_fit_decreasing(lengths, 100)
+    fit = packing.BestFit(100)
+    where, offset = fit.place(lengths)
+    n = fit.next
     room, at = [], [None] * len(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         fits = [(r, w) for w, r in enumerate(room) if r >= lengths[i]]
@@ -240,7 +242,7 @@ def test_licenses(spark, rows):
     assert got == want
     labels = lambda t: [d[2] for d in licenses.scan(t.lower().encode())[2]]
     assert labels(texts[0]) == ["apache-2.0"] and labels(texts[1]) == ["gpl-3.0-or-later", "mit", "mit"]
-    assert len(licenses.RULES) > 300
+    assert len(licenses.RULES) > 200
 
 
 def test_media_round_trip(spark, rows):

@@ -24,13 +24,19 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def normal_sha256(text: Column) -> Column:
+    """Hex SHA-256 of a text, A-Z lower-cased, in UTF-8; null is empty."""
+    return F.sha2(F.encode(ascii_lower(F.coalesce(text, F.lit(""))), "UTF-8"), 256)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_digit: int = FIRST_DIGIT) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the largest id stays; a null text
     is the empty text; a null id never wins over another, and is kept only if its whole group has null ids. Rows that
     repeat an id and a text are all equal to keep_id and are all marked kept. An empty table gives an empty result;
-    other columns are ignored, whatever their names.
+    other columns are ignored, whatever their names. A very long text takes a round for each four times of its length, and
+    is compared whole. Once done, only the tables that the result reads are left.
     """
     store = Store(docs.sparkSession, "exact")
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
@@ -48,14 +54,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "doc_id", "text_sha256", F.col("next").alias("gid"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
             F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("keep_id"), F.when(~over, F.col("rest")).alias("rest"),
         )
-        level = store.put(joined, f"level{k}")
-        done.append(level.where("rest is null"))
+        # What is over is written apart from what goes on, so that the texts of a round go once the next is written.
+        joined = store.put(joined, f"level{k}")
+        done.append(store.put(joined.where("rest is null").drop("rest", "gid"), f"done{k}"))
+        active = joined.where("rest is not null").select("doc_id", "text_sha256", "gid", "rest")
+        store.drop(f"groups{k}")
         if k:
-            store.drop(f"groups{k - 1}")
-        active = level.where("rest is not null").select("doc_id", "text_sha256", "gid", "rest")
+            store.drop(f"level{k - 1}")
         if active.isEmpty():
             break
         width, k = width * GROWTH, k + 1
+    store.keep(*[f"done{i}" for i in range(k + 1)])
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -379,22 +379,23 @@ def feature(tensor: np.ndarray) -> str:
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", media: bool = True, tensor: bool = True) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, height, width, and, where asked for, media (the JPEG) and tensor (height * width * 3 bytes).
+    feature, height, width, tensor_sha256, and, where asked for, media (the JPEG) and tensor (height * width * 3 bytes).
 
     Digests of the payload are those of the bytes read back from the stored form. A null text is empty, and an empty
     text is 192 bytes 32. Equal texts give equal values; ids, nulls among them, pass through. An empty table gives an
-    empty result. A task holds one document's picture at a time.
+    empty result. A task holds one document's picture at a time, a very long text's among them; its tensor has about
+    twice the text's bytes.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", *["media"] * media, *["tensor"] * tensor]
-    kinds = [own.schema["id"].dataType.simpleString(), "long", "long", "string", "long", "long", "string", "string", "int", "int", *["binary"] * media, *["binary"] * tensor]
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "tensor_sha256", *["media"] * media, *["tensor"] * tensor]
+    kinds = [own.schema["id"].dataType.simpleString(), "long", "long", "string", "long", "long", "string", "string", "int", "int", "string", *["binary"] * media, *["binary"] * tensor]
 
     def row(key, text: str | None) -> tuple:
         n, payload = pad(text)
         stored = encode(payload)
         picture = decode(stored)
         back, pixels = read_payload(picture), rgb(picture)
-        out = (key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(pixels), picture.height, picture.width)
+        out = (key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(pixels), picture.height, picture.width, hashlib.sha256(pixels).hexdigest())
         return out + (stored,) * media + (pixels.tobytes(),) * tensor
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +404,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             schema = pa.schema([(c, batch.schema.field("id").type if c == "id" else {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[k]) for c, k in zip(names, kinds, strict=True)])
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 out.append(row(key, text.as_py()))
-                held += sum(map(len, out[-1][10:]))
+                held += sum(map(len, out[-1][11:]))
                 if held > 1 << 26:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                     out, held = [], 0

@@ -1,18 +1,18 @@
 """Near-duplicates by fast similarity sketching, banding and exact verification.
 
-A document's set is its distinct five-word shingles (64-bit hashes). The sketch has COORDINATES bins. In round i every
+A document's set is its distinct five-word shingles (64-bit hashes, chained over eight bytes of a word, then words). The sketch has COORDINATES bins. In round i every
 shingle is hashed to a bin and a value there, and an empty bin takes the least value; rounds go on until every bin is
 full, and after COORDINATES rounds round j fills bin j - COORDINATES from all shingles, so all bins fill at the latest
 after twice as many. Two sets agree in a bin with probability equal to their similarity, with the concentration of
 independent hashes, and a set of many shingles costs about one hash per shingle.
 
-1. One pass over the texts makes each document's digest of the set, band keys and one bit per bin.
+1. One pass over the texts makes each document's digest of the set, band keys and two bits per bin.
 2. Equal sets collapse to a node, with map-side combine; copies never meet in a band.
 3. Nodes that share a band key are candidates. In each band bucket all nodes are first compared with a pivot (its least
    node); components follow; buckets whose nodes are not all in one component then try a second pivot (the greatest), and
    then each node outside the first pivot's component meets every node of another component. So a bucket of near copies
-   costs about one comparison per node, and no candidate pair goes undecided.
-4. A pair first needs the agreement of its sketch bits (almost five deviations below the threshold), then the exact similarity
+   costs about one comparison per node, and no candidate pair goes undecided. A phase with no open bucket is left out.
+4. A pair first needs the agreement of its sketch bits (almost six deviations below the threshold), then the exact similarity
    of both full sets, which are read again from the texts of candidates only. A pair that shares several bands is made
    in the first of them.
 
@@ -36,9 +36,10 @@ from waymark.llm.textarrays import NOT_SPACE, Words, batches, fold, mix, shingle
 COORDINATES = 1024
 BANDS, ROWS = 51, 5
 SHARED, ALL = 75, 100
-BITS = COORDINATES // 64
-#: Of COORDINATES bits those of sets of similarity 0.75 differ in 128 on average, with a deviation of 9.2 (measured).
-MOST_BITS = 172
+WORDS = COORDINATES // 64
+#: Two bits of each bin go with a node. Of COORDINATES bins those of sets of similarity 0.75 differ there in 192 on average,
+#: with a deviation of 10.1 (measured over 128,000 pairs; the most was 238), so that this limit is 5.9 deviations away.
+MOST_DIFFERING = 252
 
 _BIN = np.uint64(54)
 _VALUE = np.uint64((1 << 54) - 1)
@@ -84,6 +85,11 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch_bits(coordinates: np.ndarray) -> np.ndarray:
+    """The last bits of all bins as WORDS longs, then the bits before them."""
+    return np.packbits(np.concatenate([coordinates & np.uint64(1), coordinates >> np.uint64(1) & np.uint64(1)]).astype(bool)).view(np.int64)
+
+
 def _texts_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     for i, j in batches(texts):
         words = Words([fold(t) for t in texts[i:j]], NOT_SPACE)
@@ -104,16 +110,17 @@ def _sketched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(values):
                 coordinates = sketch(values)
                 keys.append(band_keys(coordinates).tolist())
-                bits.append(np.packbits((coordinates & np.uint64(1)).astype(bool)).view(np.int64).tolist())
+                bits.append(sketch_bits(coordinates).tolist())
             else:
                 keys.append(None)
                 bits.append(None)
-        arrays = [batch.column("id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "digest", "keys", "bits"])
+        carried = batch.schema.names[3:]
+        arrays = [batch.column("id"), batch.column("content"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), *[batch.column(c) for c in carried]]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "content", "n", "digest", "keys", "bits", *carried])
 
 
 def _full_sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of candidates; a row whose text has another set (a repeated id) gives none."""
+    """The sets of candidates; a row whose text has another set (its 64-bit content hash met another's) gives none."""
     for batch in rows:
         node, values = [], []
         for n, digest, own in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), _texts_sets(batch.column("text").to_pylist()), strict=True):
@@ -137,41 +144,49 @@ def _common(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _alike(a: str, b: str) -> Column:
     """What two nodes must meet before their sets are read: sizes and sketch bits that allow the similarity."""
-    differ = sum(F.bit_count(F.col(f"{a}_b{k}").bitwiseXOR(F.col(f"{b}_b{k}"))) for k in range(BITS))
+    apart = [F.col(f"{a}_b{k}").bitwiseXOR(F.col(f"{b}_b{k}")) for k in range(2 * WORDS)]
+    differ = sum(F.bit_count(apart[k].bitwiseOR(apart[k + WORDS])) for k in range(WORDS))
     low, high = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
-    return (low * ALL >= high * SHARED) & (differ <= MOST_BITS)
+    return (low * ALL >= high * SHARED) & (differ <= MOST_DIFFERING)
 
 
 def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
-    return df.select("key", F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *[F.col(f"b{k}").alias(f"{name}_b{k}") for k in range(BITS)], *[F.col(c).alias(f"{name}_{c}") for c in more])
+    return df.select("key", F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *[F.col(f"b{k}").alias(f"{name}_b{k}") for k in range(2 * WORDS)], *[F.col(c).alias(f"{name}_{c}") for c in more])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: id_col, n_shingles, component_id, kept, cluster, and the columns named in `carry`.
 
     Words are runs of non-space after lower-casing A-Z. A text of fewer than five words has its whole sequence as its
     one shingle; a null text, or one without words, has no shingle and is linked with nothing: its component is its own
-    id. component_id is the least id reachable over links of similarity 0.75 or more; kept where it is the row's own.
-    Null ids are never a component's id unless all are null; rows that repeat an id and text share a component and are
-    all kept or all not. An empty table gives an empty result.
+    id and its cluster null. component_id is the least id reachable over links of similarity 0.75 or more; kept where it
+    is the row's own; cluster is a number of the component, whatever its ids. Null ids are never a component's id unless
+    all are null; rows that repeat an id and text share a component and are all kept or all not. An empty table gives an
+    empty result. Texts are read whole, one batch of about a megabyte at a time, a longer text by itself.
     """
     store = Store(docs.sparkSession, "near")
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = own.schema["id"].dataType.simpleString()
-    sketched = store.put(own.mapInArrow(_sketched, f"id {kind}, n long, digest binary, keys array<long>, bits array<long>"), "sketches")
-    groups = sketched.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    text = F.col(text_col)
+    own = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("content"), *[F.col(c).alias(f"carried{i}") for i, c in enumerate(carry or [])])
+    carried = [f.name for f in own.schema][3:]
+    kinds = ", ".join(["id " + own.schema["id"].dataType.simpleString(), "content long, n long, digest binary, keys array<long>, bits array<long>", *[f"{c} {own.schema[c].dataType.simpleString()}" for c in carried]])
+    sketched = store.put(own.mapInArrow(_sketched, kinds), "sketches")
+    # One row of each set stands for it: its id (null last) and the hash of its text find it again.
+    who = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("content").alias("content"))
+    groups = sketched.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.min(who).alias("who"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     nodes = store.put(groups.select("*", F.monotonically_increasing_id().alias("node")), "nodes")
 
     buckets = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = store.put(shared, "shared")
     held = buckets.join(shared.hint("merge"), "key").select("key", "band", "node", "low", "high")
-    facts = nodes.select("node", "n", *[F.col("bits")[k].alias(f"b{k}") for k in range(BITS)])
+    facts = nodes.select("node", "n", *[F.col("bits")[k].alias(f"b{k}") for k in range(2 * WORDS)])
     held = store.put(held.join(facts.hint("merge"), "node"), "buckets")
     # The sets of all candidates, once.
-    wanted = held.select("node").distinct().join(nodes.select("node", "digest", F.col("least").alias("wanted_id")).hint("merge"), "node")
-    texts = own.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("node", "digest", "text")
-    sets = store.put(texts.mapInArrow(_full_sets, "node long, values array<long>").groupBy("node").agg(F.first("values").alias("values")), "sets")
+    wanted = held.select("node").distinct().join(nodes.select("node", "digest", "who").hint("merge"), "node")
+    wanted = wanted.select("node", "digest", F.col("who.id").alias("wanted_id"), F.col("who.content").alias("wanted"))
+    texts = own.select("id", "text", "content").join(wanted.hint("merge"), (F.col("content") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("wanted_id")))
+    found = texts.select("node", "digest", "text").mapInArrow(_full_sets, "node long, values array<long>")
+    sets = store.put(found.groupBy("node").agg(F.first("values").alias("values")), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a, b = sets.select(F.col("node").alias("u"), F.col("values").alias("a_values")), sets.select(F.col("node").alias("v"), F.col("values").alias("b_values"))
@@ -184,34 +199,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = _side(rows, "u").join(_side(tops, "v"), "key")
         return met.where((F.col("u") != F.col("v")) & _alike("u", "v"))
 
-    links = verified(against("low", held), "links-low")
-    roots = connected_components(links, store, "low")
+    def joined(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Components of those before, each a star round its root, and of further links."""
+        stars = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        return store.put(connected_components(stars.unionByName(links), store, name), f"roots-{name}")
 
     def open_buckets(roots: DataFrame, name: str) -> DataFrame:
         """Rows of the buckets whose nodes are not yet all in one component."""
-        rows = held.drop("root").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = held.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
         return store.put(rows.join(several.hint("merge"), "key"), name)
 
+    roots = store.put(connected_components(verified(against("low", held), "links-low"), store, "low"), "roots-low")
     left = open_buckets(roots, "open-high")
-    links = links.unionByName(verified(against("high", left), "links-high"))
-    roots = connected_components(links, store, "high")
-    left = open_buckets(roots, "open-rest")
-    main = left.where("node = low").select("key", F.col("root").alias("main"))
-    left = left.join(main.hint("merge"), "key").join(nodes.select("node", "keys").hint("merge"), "node")
-    left = store.put(left.withColumn("out", F.col("root") != F.col("main")), "rest")
-    rest = _side(left.where("out"), "u", "root", "low", "high", "keys", "band").join(_side(left, "v", "root", "keys", "out"), "key")
-    fresh = (F.col("u_root") != F.col("v_root")) & ~F.col("v").isin(F.col("u_low"), F.col("u_high")) & (~F.col("v_out") | (F.col("u") < F.col("v")))
-    first = F.expr("array_position(zip_with(u_keys, v_keys, (x, y) -> x = y), true) = u_band + 1")
-    rest = rest.where(fresh & _alike("u", "v") & first)
-    links = links.unionByName(verified(rest, "links-rest"))
-    roots = connected_components(links, store, "rest")
+    if not left.isEmpty():
+        roots = joined(roots, verified(against("high", left), "links-high"), "high")
+        left = open_buckets(roots, "open-rest")
+    if not left.isEmpty():
+        main = left.where("node = low").select("key", F.col("root").alias("main"))
+        left = left.join(main.hint("merge"), "key").join(nodes.select("node", "keys").hint("merge"), "node")
+        left = store.put(left.withColumn("out", F.col("root") != F.col("main")), "rest")
+        rest = _side(left.where("out"), "u", "root", "low", "high", "keys", "band").join(_side(left, "v", "root", "keys", "out"), "key")
+        fresh = (F.col("u_root") != F.col("v_root")) & ~F.col("v").isin(F.col("u_low"), F.col("u_high")) & (~F.col("v_out") | (F.col("u") < F.col("v")))
+        first = F.expr("array_position(zip_with(u_keys, v_keys, (x, y) -> x = y), true) = u_band + 1")
+        roots = joined(roots, verified(rest.where(fresh & _alike("u", "v") & first), "links-rest"), "rest")
 
     placed = nodes.select("node", "digest", "least").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = store.put(placed, "placed")
     tops = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = store.put(placed.join(tops.hint("merge"), "root").select("digest", "component_id"), "members")
+    member = store.put(placed.join(tops.hint("merge"), "root").select("digest", "component_id", F.col("root").alias("cluster")), "members")
     store.keep("sketches", "members")
-    out = sketched.select("id", "n", "digest").join(member.hint("merge"), "digest", "left")
+    out = sketched.select("id", "n", "digest", *carried).join(member.hint("merge"), "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    mine = [F.col(c).alias(name) for c, name in zip(carried, carry or [], strict=True)]
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "cluster", *mine)

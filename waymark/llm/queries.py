@@ -34,40 +34,42 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of their labelled part."""
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")
 
 
 def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 1024 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """taken is summed from the mix's pieces."""
-    members, pieces = mix_sources(table(spark, sf_dir, "documents"))
-    summed = pieces.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z")).agg(F.sum("n_words").alias("w"))
-    # Rows that repeat an id and a size differ in nothing that is returned but taken, which members holds for each of them.
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    taken = F.when(F.col("taken") > 0, F.least("taken", F.coalesce("w", F.lit(0)))).otherwise(0).cast("long")
-    return members.join(summed, same, "left").select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    """One row per document; taken is summed from its pieces in the shards."""
+    members, _ = mix_sources(table(spark, sf_dir, "documents"))
+    return members.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    """Components of similarity 0.75 or more, over all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("cluster")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of their labelled part."""
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the base phrases and labels of all detections, over all documents."""
     found = scan_licenses(table(spark, sf_dir, "documents"))
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", "detections.label")))
     return found.select(
@@ -77,10 +79,12 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-piece counts of all documents."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the stored form, of the payload read back from it, and of its RGB tensor."""
     return media_column(table(spark, sf_dir, "documents"), media=False, tensor=False).drop("height", "width")
 
 
@@ -144,11 +148,13 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT *, coalesce(sum(full_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight, row_number() OVER o AS k
               FROM w WINDOW o AS (ORDER BY full_size / weight, src)),
         l AS (SELECT *, (1.5 * (SELECT sum(source_size) FROM s) - before) / left_weight AS level FROM c),
-        t AS (SELECT source, source_size, least(full_size, weight * (SELECT arg_min(level, k) FROM l WHERE level <= full_size / weight)) AS target FROM l),
-        p AS (SELECT doc_id, d.source, size, source_size, target, round(target)::BIGINT AS goal, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
-              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               (CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + least(size, greatest(0, goal % source_size - start)) END)::BIGINT AS taken, source FROM p""",
+        t AS (SELECT source, src, source_size, least(full_size, weight * (SELECT arg_min(level, k) FROM l WHERE level <= full_size / weight)) AS target FROM l),
+        p AS (SELECT doc_id, d.source, src, size, source_size, target, round(target)::BIGINT AS goal, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        q AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS whole, CASE WHEN source_size > 0 THEN goal % source_size ELSE 0 END AS part, start // 4096 AS block FROM p),
+        b AS (SELECT src, block, any_value(part) AS part, sum(size) AS words, min(start) AS first, md5('20240601:' || src || ':' || any_value(whole) || ':' || block) AS turn FROM q WHERE size > 0 GROUP BY src, block),
+        k AS (SELECT src, block, first, least(words, part - (sum(words) OVER (PARTITION BY src ORDER BY turn, block ROWS UNBOUNDED PRECEDING) - words)) AS most FROM b)
+        SELECT doc_id, size, source_size, target, (whole * size + CASE WHEN size > 0 THEN least(size, greatest(0, most - (start - first))) ELSE 0 END)::BIGINT AS taken, source FROM q LEFT JOIN k ON k.src = q.src AND k.block = q.block""",
     "op4_near_duplicates": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),

@@ -33,7 +33,8 @@ class Words:
     """The words of texts: start and end in `data`, hash, and first[i]:first[i + 1] for text i."""
 
     def __init__(self, texts: list[bytes], kind: np.ndarray = NOT_SPACE, hashes: bool = True) -> None:
-        self.data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        # Texts are apart by a line break, which is no part of a word and none of a line.
+        self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.ends = np.cumsum(lengths)
         inside = kind[self.data]

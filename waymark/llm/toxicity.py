@@ -241,22 +241,43 @@ def _learn(rows: list[dict]) -> ConvModel:
 def score_toxicity(docs: DataFrame, model: ConvModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """One row per row of docs: id_col, score, threshold (of its language), rejected (score >= threshold).
 
-    A null text is empty; an empty text has the score of no words. Repeated rows get equal scores. The model (a few MB,
-    its size fixed by the table) is broadcast.
+    A null text is empty; an empty text has the score of no words; a very long one is scored whole, in a batch of its
+    own. Repeated rows get equal scores. The model (a few MB, its size fixed by the table) is broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    verdict = _verdicts(docs, model)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for b in rows:
-            texts = b.column("text").to_pylist()
-            score = np.zeros(len(texts))
-            for i, j in batches(texts):
-                score[i:j] = own.score(*word_ids(texts[i:j]))
-            cut = np.array([own.thresholds.get(x, own.threshold) for x in b.column("lang").to_pylist()], float)
+            score, cut = verdict(b.column("text"), b.column("lang"))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(score), pa.array(cut), pa.array(score >= cut)], ["id", "score", "threshold", "rejected"])
 
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
     out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, threshold double, rejected boolean")
     return out.withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, model: ConvModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that score below their threshold, with all their columns: each row goes by its own text."""
+    verdict = _verdicts(docs, model)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            score, cut = verdict(b.column(text_col), b.column(lang_col))
+            yield b.filter(pa.array(score < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _verdicts(docs: DataFrame, model: ConvModel):
+    """(texts, languages) -> scores and thresholds, in a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def verdict(column: pa.Array, langs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        own, texts = shared.value, column.to_pylist()
+        score = np.zeros(len(texts))
+        for i, j in batches(texts):
+            score[i:j] = own.score(*word_ids(texts[i:j]))
+        return score, np.array([own.thresholds.get(x, own.threshold) for x in langs.to_pylist()], float)
+
+    return verdict
