@@ -53,7 +53,7 @@ def count_label(spark, sf):
 
 def _catalogue(spark, sf) -> DataFrame:
     """Sections as rows of a catalogue: course, ord, buildings, timed, class."""
-    mt = C.meetings(C.sections(spark, sf, None, 60))
+    mt = C.meetings(C.sections(spark, sf, 60))
     return mt.groupBy("course", "ord").agg(F.collect_set(F.when(F.col("building") >= 0, F.col("building"))).alias("buildings"), F.count_if(F.col("building") < 0).alias("unknown"))
 
 
@@ -235,7 +235,7 @@ def lecture_load(spark, sf):
 
 
 def meeting_groups(spark, sf):
-    mt = C.meetings(C.sections(spark, sf, None, 60))
+    mt = C.meetings(C.sections(spark, sf, 60))
     return mt.groupBy("course", "s", "e", "building").agg(F.array_join(F.array_sort(F.collect_set("day")), ",").alias("days"))
 
 
@@ -270,7 +270,7 @@ def _building(p: str) -> str:
     return f"CASE WHEN {nowhere} OR len({parts}) = 0 THEN '' WHEN ltrim({joined}, '0') = '' THEN '0' ELSE ltrim({joined}, '0') END"
 
 
-_CAT = f"""{C.sql_sections(None, 60)}, cat AS (SELECT course, ord, list_distinct(list(building) FILTER (building >= 0)) AS bs, count(*) FILTER (building < 0) AS unknown FROM mt GROUP BY course, ord)"""
+_CAT = f"""{C.sql_sections(60)}, cat AS (SELECT course, ord, list_distinct(list(building) FILTER (building >= 0)) AS bs, count(*) FILTER (building < 0) AS unknown FROM mt GROUP BY course, ord)"""
 _SPREAD = """sp AS (SELECT course, count(*) AS n_sections, count(*) FILTER (unknown = 0) AS located FROM cat GROUP BY course HAVING count(*) >= 2),
         cb AS (SELECT DISTINCT course, unnest(bs) AS building FROM cat), nb AS (SELECT course, count(*) AS buildings, string_agg(building::VARCHAR, ',' ORDER BY building) AS list FROM cb GROUP BY course),
         far AS (SELECT x.course, max((t.minutes + r.minutes) / 2) AS most FROM cb x JOIN cb y ON x.course = y.course AND x.building < y.building JOIN travel t ON t.a = x.building AND t.b = y.building JOIN travel r ON r.a = y.building AND r.b = x.building GROUP BY 1),
@@ -340,7 +340,7 @@ ORACLE_SQL = {
     "json_props": "SELECT event_type, count(k) AS n, min(k) AS low, max(k) AS high, sum(k)::BIGINT AS total FROM (SELECT event_type, regexp_extract(props, '\"k\":\\s*(\\d+)', 1)::INTEGER AS k FROM events) GROUP BY 1",
     "keyword_find": "SELECT p_brand, count(*) AS n, min(p_name) AS name FROM part WHERE p_name ILIKE '%ring%' OR p_brand LIKE '%#1%' GROUP BY 1",
     "lecture_load": f"WITH {_CAT} SELECT building, count(DISTINCT ord) AS sections FROM mt WHERE building >= 0 GROUP BY building",
-    "meeting_groups": f"WITH {C.sql_sections(None, 60)} SELECT course, s, e, building, string_agg(DISTINCT day::VARCHAR, ',' ORDER BY day::VARCHAR) AS days FROM mt GROUP BY 1, 2, 3, 4",
+    "meeting_groups": f"WITH {C.sql_sections(60)} SELECT course, s, e, building, string_agg(DISTINCT day::VARCHAR, ',' ORDER BY day::VARCHAR) AS days FROM mt GROUP BY 1, 2, 3, 4",
     "eligibility_years": "SELECT p_partkey, (p_size % 7)::INTEGER AS year FROM part",
     "stress_courses": f"WITH {_CAT} SELECT course, count(*) AS enrolled FROM cat GROUP BY course ORDER BY enrolled DESC, course LIMIT 8",
 }

@@ -10,8 +10,9 @@ from waymark.functions import geo
 from waymark.functions import text as X
 from waymark.operators import changes as D
 from waymark.operators import experiments as E
-from waymark.operators import schedule as S
+from waymark.operators import requests as Q
 from waymark.operators import terrain as Z
+from waymark.catalogue_parts.schedules import SQL_COMBOS
 from waymark.plans import campus as C
 from waymark.streaming import streams
 
@@ -27,14 +28,14 @@ def campus_filter(spark, sf):
 
 
 def usable_sections(spark, sf):
-    mt = C.meetings(C.sections(spark, sf, None, 60))
+    mt = C.meetings(C.sections(spark, sf, 60))
     g = mt.groupBy("ord").agg(F.min("building").alias("least"))
     return g.select("ord", (F.col("ord") % 10 != 0).alias("timed"), ((F.col("ord") % 10 != 0) & (F.col("least") >= 0)).alias("usable"))
 
 
 def request_filter(spark, sf):
     """Wanted courses in the request's order, without the excluded sections."""
-    sec = C.sections(spark, sf, None, 60)
+    sec = C.sections(spark, sf, 60)
     wanted = spark.createDataFrame([(c, i) for i, c in enumerate((17, 3, 42))], "course long, pos int")
     excluded = sec.where("ord % 7 = 0").select("ord")
     return sec.join(F.broadcast(wanted), "course").join(excluded, "ord", "left_anti").select("pos", "course", "ord", "building")
@@ -53,7 +54,7 @@ def browse_order(spark, sf):
 
 def overrides_applied(spark, sf):
     """Rooms by hand win over the catalogue's, unless the catalogue's meeting has moved since."""
-    mt = C.meetings(C.sections(spark, sf, 3000, 60)).where("mpos = 0")
+    mt = C.meetings(C.sections(spark, sf, 60)).where("mpos = 0")
     own = mt.where("ord % 6 = 0").select("ord", (F.col("building") + 100).alias("mine"), (F.col("s") + F.when(F.col("ord") % 12 == 0, 5).otherwise(0)).alias("base"))
     both = mt.join(own, "ord", "left")
     return both.select("ord", F.when(F.col("base") == F.col("s"), F.col("mine")).otherwise(F.col("building")).cast("int").alias("building"), F.coalesce(F.col("base") != F.col("s"), F.lit(False)).alias("moved"))
@@ -67,7 +68,7 @@ def sync_due(spark, sf):
 
 def pairwise_conflict(spark, sf):
     """Whether two neighbouring sections of a catalogue overlap, from their nested meetings."""
-    mt = C.meetings(C.sections(spark, sf, 2000, 60)).groupBy("ord").agg(F.collect_list(F.struct("day", "s", "e")).alias("ms"))
+    mt = C.meetings(C.sections(spark, sf, 60)).groupBy("ord").agg(F.collect_list(F.struct("day", "s", "e")).alias("ms"))
     nxt = mt.select((F.col("ord") - 1).alias("ord"), F.col("ms").alias("other"))
     hit = F.exists("ms", lambda a: F.exists("other", lambda b: (a["day"] == b["day"]) & (a["s"] < b["e"]) & (b["s"] < a["e"])))
     return mt.join(nxt, "ord").select("ord", hit.alias("conflict"))
@@ -94,7 +95,7 @@ def name_resolution(spark, sf):
 def route_stats(spark, sf):
     li = C.table(spark, sf, "lineitem")
     g = li.groupBy((F.col("l_suppkey") % 20).alias("route")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_samp("l_quantity"), 6).alias("sd"), F.min(F.struct("l_orderkey", "l_linenumber")).alias("first"))
-    return g.select("route", "n", "mean", "sd", F.row_number().over(W.orderBy("first")).alias("seen"))
+    return g.select("route", "n", "mean", "sd", F.row_number().over(W.orderBy("first", "route")).alias("seen"))
 
 
 def merged_places(spark, sf):
@@ -121,7 +122,7 @@ def entrance_numbers(spark, sf):
 
 
 def week_window(spark, sf):
-    mt = C.meetings(C.sections(spark, sf, None, 60))
+    mt = C.meetings(C.sections(spark, sf, 60))
     g = mt.groupBy("course").agg(F.array_join(F.array_sort(F.collect_set("day")), ",").alias("days"), F.floor(F.min("s") / 60).alias("lo"), F.ceil(F.max("e") / 60).alias("hi"))
     return g.select("course", "days", F.least("lo", F.greatest(F.lit(0), F.col("hi") - 4)).alias("from_h"), F.greatest("hi", F.least(F.lit(24), F.col("lo") + 4)).alias("to_h"))
 
@@ -133,7 +134,7 @@ def arc_length(spark, sf):
 
 
 def building_set(spark, sf):
-    return C.meetings(C.sections(spark, sf, 500, 60)).where("building >= 0").select("building").distinct()
+    return C.meetings(C.sections(spark, sf, 60)).where("building >= 0").select("building").distinct()
 
 
 def first_snapshot(spark, sf):
@@ -197,7 +198,7 @@ def short_names(spark, sf):
 
 
 def meeting_signatures(spark, sf):
-    mt = C.meetings(C.sections(spark, sf, 3000, 60))
+    mt = C.meetings(C.sections(spark, sf, 60))
     sig = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "day", "s", "e"))), ";")
     return mt.groupBy("ord").agg(sig.alias("sig"))
 
@@ -220,21 +221,21 @@ def newest_answers(spark, sf):
 
 
 def capped_combos(spark, sf):
-    """Whether a request has more than 1000 feasible combinations."""
-    sec = C.sections(spark, sf, 64, 4)
-    combos = S.feasible_combos(sec, S.conflict_pairs(C.meetings(sec)), [0, 1, 2, 3], cap=1000)
-    return combos.agg(F.least(F.count(F.lit(1)), F.lit(1001)).alias("n"), (F.count(F.lit(1)) > 1000).alias("more"))
+    """Of each request the first 100 feasible combinations, and whether these are all."""
+    sec = C.sections(spark, sf, 4, per=24)
+    out = Q.capped_schedules(Q.choices(sec, C.meetings(sec)), 100)
+    return out.select("request", "complete", F.size("combos").cast("long").alias("n"), F.array_join(F.element_at("combos", -1), ",").alias("last"))
 
 
 def candidate_sections(spark, sf):
-    sec = C.sections(spark, sf, None, 60).withColumn("usable", F.col("building") >= 0).withColumn("eligible", F.col("ord") % 4 != 0)
+    sec = C.sections(spark, sf, 60).withColumn("usable", F.col("building") >= 0).withColumn("eligible", F.col("ord") % 4 != 0)
     return E.candidates(sec, sec.where("ord % 40 = 0").select("ord")).groupBy("course").agg(F.count(F.lit(1)).alias("n"))
 
 
 def suggested_routes(spark, sf):
     """The ten pairs between busy buildings with the most minutes added over the way back."""
     t = C.travel(spark, sf)
-    load = C.meetings(C.sections(spark, sf, None, 60)).where("building >= 0").groupBy("building").agg(F.countDistinct("ord").alias("n"))
+    load = C.meetings(C.sections(spark, sf, 60)).where("building >= 0").groupBy("building").agg(F.countDistinct("ord").alias("n"))
     busy = load.where(F.col("n") > 0).select(F.col("building").cast("int").alias("hub"))
     back = t.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("minutes").alias("back"))
     rows = t.join(busy, F.col("a") == F.col("hub"), "left_semi").join(busy, F.col("b") == F.col("hub"), "left_semi").join(back, ["a", "b"])
@@ -249,25 +250,25 @@ QUERIES = {n: globals()[n] for n in NAMES}
 _P0, _LON0 = "radians(37.46::DOUBLE)", "126.95::DOUBLE"
 ORACLE_SQL = {
     "campus_filter": "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber > 1 AND l_returnflag <> 'N') = 0",
-    "usable_sections": f"WITH {C.sql_sections(None, 60)} SELECT ord, ord % 10 <> 0 AS timed, ord % 10 <> 0 AND building >= 0 AS usable FROM sec",
-    "request_filter": f"WITH {C.sql_sections(None, 60)} SELECT (CASE course WHEN 17 THEN 0 WHEN 3 THEN 1 ELSE 2 END)::INTEGER AS pos, course, ord, building FROM sec WHERE course IN (17, 3, 42) AND ord % 7 <> 0",
+    "usable_sections": f"WITH {C.sql_sections(60)} SELECT ord, ord % 10 <> 0 AS timed, ord % 10 <> 0 AND building >= 0 AS usable FROM sec",
+    "request_filter": f"WITH {C.sql_sections(60)} SELECT (CASE course WHEN 17 THEN 0 WHEN 3 THEN 1 ELSE 2 END)::INTEGER AS pos, course, ord, building FROM sec WHERE course IN (17, 3, 42) AND ord % 7 <> 0",
     "campus_box": f"WITH {C.SQL_TRAVEL} SELECT building, name FROM bld WHERE lat BETWEEN 37.455::DOUBLE AND 37.47::DOUBLE AND lon BETWEEN 126.955::DOUBLE AND 126.97::DOUBLE",
     "browse_order": "SELECT p_partkey, row_number() OVER (ORDER BY CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END, p_name, p_partkey)::INTEGER AS place FROM part WHERE p_size <= 10",
-    "overrides_applied": f"WITH {C.sql_sections(3000, 60)} SELECT ord, (CASE WHEN ord % 6 = 0 AND ord % 12 <> 0 THEN building + 100 ELSE building END)::INTEGER AS building, ord % 12 = 0 AS moved FROM sec",
+    "overrides_applied": f"WITH {C.sql_sections(60)} SELECT ord, (CASE WHEN ord % 6 = 0 AND ord % 12 <> 0 THEN building + 100 ELSE building END)::INTEGER AS building, ord % 12 = 0 AS moved FROM sec",
     "sync_due": "SELECT o_orderkey, o_orderkey % 17 = 0 OR (o_orderkey % 9 + 2) * 60 + 45 >= 330 AS due FROM orders",
-    "pairwise_conflict": f"WITH {C.sql_sections(2000, 60)} SELECT x.ord, x.ord IN (SELECT a.ord FROM mt a JOIN mt b ON b.ord = a.ord + 1 AND a.day = b.day AND a.s < b.e AND b.s < a.e) AS conflict FROM sec x WHERE x.ord + 1 IN (SELECT ord FROM sec)",
+    "pairwise_conflict": f"WITH {C.sql_sections(60)} SELECT x.ord, x.ord IN (SELECT a.ord FROM mt a JOIN mt b ON b.ord = a.ord + 1 AND a.day = b.day AND a.s < b.e AND b.s < a.e) AS conflict FROM sec x WHERE x.ord + 1 IN (SELECT ord FROM sec)",
     "meta_defaults": "SELECT coalesce(c_mktsegment, 'none') AS segment, count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey GROUP BY 1",
     "list_merge": "SELECT p_partkey % 500 AS id, arg_min(p_name, p_partkey) FILTER (p_partkey % 4 <> 0) AS name, arg_min(p_size, p_partkey) FILTER (p_size % 2 = 0) AS lat, count(*) AS sources FROM part GROUP BY 1",
     "name_resolution": "SELECT p_name, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS id, count(*) > 1 AS ambiguous FROM part GROUP BY 1",
-    "route_stats": "SELECT l_suppkey % 20 AS route, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, row_number() OVER (ORDER BY min((l_orderkey, l_linenumber)))::INTEGER AS seen FROM lineitem GROUP BY 1",
+    "route_stats": "SELECT l_suppkey % 20 AS route, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, row_number() OVER (ORDER BY min((l_orderkey, l_linenumber)), l_suppkey % 20)::INTEGER AS seen FROM lineitem GROUP BY 1",
     "merged_places": "SELECT round((l_partkey % 40) / 100::DOUBLE, 2) AS x, round((l_suppkey % 30) / 100::DOUBLE, 2) AS y, round(avg(l_quantity), 6) AS z FROM lineitem GROUP BY 1, 2",
     "surface_totals": "SELECT l_linestatus AS surface, count(*) AS n, round(sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem), 6) AS share FROM lineitem GROUP BY 1",
     "best_item": "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 2, CASE WHEN p_type = 'ECONOMY' THEN 0 ELSE 1 END, length(p_name), p_partkey) = 1",
     "entrance_numbers": "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_suppkey % 5 <> 0 THEN floor(s_acctbal) ELSE 1e9 END, s_suppkey % 97)::INTEGER AS no FROM supplier",
-    "week_window": f"""WITH {C.sql_sections(None, 60)}, h AS (SELECT course, string_agg(DISTINCT day::VARCHAR, ',' ORDER BY day::VARCHAR) AS days, min(s) // 60 AS lo, (max(e) + 59) // 60 AS hi FROM mt GROUP BY course)
+    "week_window": f"""WITH {C.sql_sections(60)}, h AS (SELECT course, string_agg(DISTINCT day::VARCHAR, ',' ORDER BY day::VARCHAR) AS days, min(s) // 60 AS lo, (max(e) + 59) // 60 AS hi FROM mt GROUP BY course)
         SELECT course, days, least(lo, greatest(0, hi - 4))::BIGINT AS from_h, greatest(hi, least(24, lo + 4))::BIGINT AS to_h FROM h""",
     "arc_length": "SELECT l_orderkey, l_linenumber, (SELECT sum(b.l_quantity) FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber <= a.l_linenumber) AS s FROM lineitem a",
-    "building_set": f"WITH {C.sql_sections(500, 60)} SELECT DISTINCT building FROM sec WHERE building >= 0",
+    "building_set": f"WITH {C.sql_sections(60)} SELECT DISTINCT building FROM sec WHERE building >= 0",
     "first_snapshot": "SELECT p_partkey AS key, 'created' AS op FROM part",
     "local_projection": f"""WITH {C.SQL_TRAVEL} SELECT building, round((lon - {_LON0}) * (111412.84::DOUBLE * cos({_P0}) - 93.5::DOUBLE * cos(3 * {_P0})), 4) AS x,
         round((lat - 37.46::DOUBLE) * (111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * {_P0}) + 1.175::DOUBLE * cos(4 * {_P0})), 4) AS y FROM bld""",
@@ -279,12 +280,14 @@ ORACLE_SQL = {
     "merged_marks": """WITH r AS (SELECT l_orderkey, l_partkey % 60 AS a, l_partkey % 60 + l_linenumber AS b FROM lineitem), p AS (SELECT DISTINCT l_orderkey, unnest(range(a, b)) AS p FROM r),
         i AS (SELECT l_orderkey, p, p - row_number() OVER (PARTITION BY l_orderkey ORDER BY p) AS g FROM p) SELECT l_orderkey, min(p) AS a, max(p) + 1 AS b FROM i GROUP BY l_orderkey, g""",
     "short_names": "SELECT p_partkey, p_name AS name, p_size::VARCHAR AS room FROM part",
-    "meeting_signatures": f"WITH {C.sql_sections(3000, 60)} SELECT ord, string_agg(day || ':' || s || ':' || e, ';' ORDER BY day || ':' || s || ':' || e) AS sig FROM mt GROUP BY ord",
+    "meeting_signatures": f"WITH {C.sql_sections(60)} SELECT ord, string_agg(day || ':' || s || ':' || e, ';' ORDER BY day || ':' || s || ':' || e) AS sig FROM mt GROUP BY ord",
     "building_lookup": "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE p_type WHEN 'PROMO' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END, length(p_name), p_partkey) = 1",
     "personal_timetables": "SELECT user_id::VARCHAR AS person, array_to_string(list_sort(list_distinct(list(event_id % 40))), ',') AS courses FROM events GROUP BY 1",
     "newest_answers": "SELECT user_id AS client, arg_max(event_type, event_id) AS payload, max(event_id) AS request FROM events GROUP BY 1",
-    "capped_combos": "SELECT 1001::BIGINT AS n, true AS more",
-    "candidate_sections": f"WITH {C.sql_sections(None, 60)} SELECT course, count(*) AS n FROM sec WHERE (building >= 0 AND ord % 4 <> 0) OR ord % 40 = 0 GROUP BY course",
-    "suggested_routes": f"""WITH {C.sql_sections(None, 60)}, h AS (SELECT DISTINCT building AS hub FROM sec WHERE building >= 0) SELECT t.a, t.b, t.minutes - r.minutes AS added FROM travel t JOIN travel r ON t.a = r.b AND t.b = r.a
+    "capped_combos": f"""WITH RECURSIVE {C.sql_sections(4, 24)}, {SQL_COMBOS}, p AS (SELECT request, combo, row_number() OVER (PARTITION BY request ORDER BY combo) AS i, count(*) OVER (PARTITION BY request) AS n FROM combo)
+        SELECT request, n <= 100 AS complete, least(n, 100) AS n, array_to_string(combo, ',') AS last FROM p WHERE i = least(n, 100)
+        UNION ALL SELECT DISTINCT request, true, 0, NULL FROM sec WHERE request NOT IN (SELECT request FROM combo)""",
+    "candidate_sections": f"WITH {C.sql_sections(60)} SELECT course, count(*) AS n FROM sec WHERE (building >= 0 AND ord % 4 <> 0) OR ord % 40 = 0 GROUP BY course",
+    "suggested_routes": f"""WITH {C.sql_sections(60)}, h AS (SELECT DISTINCT building AS hub FROM sec WHERE building >= 0) SELECT t.a, t.b, t.minutes - r.minutes AS added FROM travel t JOIN travel r ON t.a = r.b AND t.b = r.a
         WHERE t.a IN (SELECT hub FROM h) AND t.b IN (SELECT hub FROM h) ORDER BY added DESC, t.a, t.b LIMIT 10""",
 }

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_M = 6371000.0
+#: How a grade slows a walk (most speed at a fall of BEST), and a climb or a descent of stairs.
+DECAY, BEST = 3.5, 0.05
+STAIRS_UP, STAIRS_DOWN = 2.2, 1.6
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -24,11 +28,11 @@ def walk_minutes(metres: Column, km_h: float = 4.0, detour: float = 1.35) -> Col
 def tobler_speed(grade: Column, level: float = 1.0) -> Column:
     """Walking speed on a slope, as a multiple of the speed on level ground; the grade counts within -1..1."""
     g = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), grade))
-    return level * F.exp(-3.5 * F.abs(g + 0.05)) / math.exp(-0.175)
+    return level * F.exp(-DECAY * F.abs(g + BEST)) / math.exp(-DECAY * BEST)
 
 
 def stair_speed(grade: Column, level: float = 1.0) -> Column:
-    return level / (1 + 2.2 * F.greatest(grade, F.lit(0.0)) + 1.6 * F.greatest(-grade, F.lit(0.0)))
+    return level / (1 + STAIRS_UP * F.greatest(grade, F.lit(0.0)) + STAIRS_DOWN * F.greatest(-grade, F.lit(0.0)))
 
 
 def pace(grade: Column, stairs: Column, level: float = 1.0) -> Column:
@@ -36,6 +40,19 @@ def pace(grade: Column, stairs: Column, level: float = 1.0) -> Column:
     return F.when(stairs, 1 / stair_speed(grade, level)).otherwise(1 / tobler_speed(grade, level))
 
 
+def unit_time(metres: Column, grade: Column, decay: float, stairs: Column | None = None) -> Column:
+    """Time at level speed 1: exponential decay by the grade (0: a flat model); on stairs the stairs' own speed."""
+    g = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), grade))
+    slope = metres * F.exp(decay * (F.abs(g + BEST) - BEST))
+    return slope if stairs is None else F.when(stairs, metres / stair_speed(g)).otherwise(slope)
+
+
+def relative_pace(grade: np.ndarray, stairs: np.ndarray) -> np.ndarray:
+    """`pace` at level speed 1 over arrays."""
+    g = np.clip(grade, -1, 1)
+    return np.where(stairs, 1 + STAIRS_UP * np.maximum(g, 0) + STAIRS_DOWN * np.maximum(-g, 0), np.exp(DECAY * (np.abs(g + BEST) - BEST)))
+
+
 def mercator(lat: Column, lon: Column, size: float = 256.0) -> tuple[Column, Column]:
     """Web-Mercator world coordinates, 0..size."""
     s = F.sin(F.radians(lat))

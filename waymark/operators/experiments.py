@@ -6,37 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from waymark.operators.schedule import count_feasible, feasible_combos, section_masks
+from waymark.operators.requests import choices, count_schedules
+from waymark.operators.schedule import cost_key, evaluate, feasible_combos
 
 
-def rejection_sample(sec: DataFrame, conflicts: DataFrame, order: list[int], tries: int, want: int, seed: int = 1) -> DataFrame:
-    """combo: independent uniform choices per course, those with a conflict dropped, `want` at most.
+def rejection_sample(sec: DataFrame, conflicts: DataFrame, tries: int, want: int, seed: int = 1) -> DataFrame:
+    """(request, combo): independent uniform choices per course, those with a conflict dropped, `want` per request at most.
 
-    A try is a row; its choice in a course is a hash of (seed, try, course) modulo the course's sections.
+    sec is (request, course, ord). A try is a row; its choice in a course is a hash of (seed, request, try, course) modulo
+    the course's sections. A request with a course without a section (a null ord) has no sample.
     """
-    spark = sec.sparkSession
-    numbered = sec.where(F.col("course").isin(order)).select("course", "ord", (F.row_number().over(W.partitionBy("course").orderBy("ord")) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy("course")).alias("n"))
-    sizes = {r.course: r.n for r in numbered.select("course", "n").distinct().collect()}  # one row per course of a request
-    draws = spark.range(tries).withColumnRenamed("id", "try")
-    for k, c in enumerate(order):
-        pick = F.pmod(F.xxhash64(F.lit(seed), "try", F.lit(c)), F.lit(sizes[c]))
-        one = numbered.where(F.col("course") == c).select(F.col("i").alias(f"i{k}"), F.col("ord").alias(f"o{k}"))
-        draws = draws.withColumn(f"i{k}", pick.cast("int")).join(F.broadcast(one), f"i{k}").drop(f"i{k}")
-    combos = draws.select("try", F.array(*[f"o{k}" for k in range(len(order))]).alias("combo"))
-    pairs = combos.select("try", F.explode("combo").alias("a")).join(combos.select("try", F.explode("combo").alias("b")), "try").where("a < b")
-    bad = pairs.join(F.broadcast(conflicts), ["a", "b"], "left_semi").select("try").distinct()
-    return combos.join(bad, "try", "left_anti").orderBy("try").limit(want).select("combo")
-
-
-def choice_space(sec: DataFrame, mt: DataFrame, conflicts: DataFrame, order: list[int], whole: int = 20000, part: int = 50000, sample: int = 4000, tries: int = 3000000) -> tuple[DataFrame, bool]:
-    """(combos, complete): all of them if few, a hash sample of a middling number, rejection sampling beyond."""
-    n = int(count_feasible(section_masks(mt), order).first()["n"])
-    if n <= whole:
-        return feasible_combos(sec, conflicts, order), True
-    if n <= part:
-        every = feasible_combos(sec, conflicts, order)
-        return every.orderBy(F.xxhash64("combo"), "combo").limit(sample), False
-    return rejection_sample(sec, conflicts, order, tries, sample), False
+    course = W.partitionBy("request", "course")
+    numbered = sec.withColumn("i", F.row_number().over(course.orderBy("ord")) - 1).withColumn("n", F.count("ord").over(course))
+    sizes = numbered.groupBy("request", "course").agg(F.max("n").alias("n"))
+    whole = sizes.groupBy("request").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("courses")).where("least > 0")
+    order = W.partitionBy("request").orderBy("n", "course")
+    draws = sizes.withColumn("pos", F.row_number().over(order)).join(whole, "request").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "request", "try", "course"), F.col("n")).cast("int"))
+    both = conflicts.select("request", F.col("a").alias("ord"), F.col("b").alias("other")).unionByName(conflicts.select("request", F.col("b").alias("ord"), F.col("a").alias("other")))
+    against = both.groupBy("request", "ord").agg(F.collect_set("other").alias("others"))
+    options = numbered.select("request", "course", "i", "ord").join(against, ["request", "ord"], "left")
+    met = draws.join(options, ["request", "course", "i"]).groupBy("request", "try").agg(F.array_sort(F.collect_list(F.struct("pos", "ord"))).alias("chosen"), F.flatten(F.collect_list("others")).alias("shut"))
+    kept = met.select("request", "try", F.col("chosen.ord").alias("combo"), "shut").where(~F.arrays_overlap("combo", "shut"))
+    first = F.row_number().over(W.partitionBy("request").orderBy("try"))
+    return kept.withColumn("k", first).where(F.col("k") <= want).select("request", "combo")
+
+
+def choice_space(sec: DataFrame, mt: DataFrame, conflicts: DataFrame, whole: int = 20000, part: int = 50000, sample: int = 4000, tries: int = 3000000) -> DataFrame:
+    """(request, combo, complete): all of a request's combinations if few, a hash sample of a middling number, rejection
+    sampling beyond. The exact number of each request decides."""
+    sized = count_schedules(choices(sec, mt)).select("request", "n")
+    few, rest = sized.where(F.col("n") <= part), sized.where(F.col("n").isNull() | (F.col("n") > part))
+    every = feasible_combos(sec.join(few, "request", "left_semi"), conflicts).join(few, "request")
+    place = F.row_number().over(W.partitionBy("request").orderBy(F.xxhash64("combo"), "combo"))
+    every = every.withColumn("place", place).where((F.col("n") <= whole) | (F.col("place") <= sample)).select("request", "combo", (F.col("n") <= whole).alias("complete"))
+    drawn = rejection_sample(sec.join(rest, "request", "left_semi"), conflicts, tries, sample)
+    return every.unionByName(drawn.withColumn("complete", F.lit(False)))
 
 
 def weighted_draw(items: DataFrame, group: str, key: str, weight: str, n: int, seed: int = 1) -> DataFrame:
@@ -59,3 +64,12 @@ def candidates(sections: DataFrame, chosen: DataFrame) -> DataFrame:
     """Usable and eligible sections, and the chosen ones whether or not they are."""
     kept = sections.where("usable AND eligible").unionByName(sections.join(chosen, "ord", "left_semi"))
     return kept.dropDuplicates(["ord"])
+
+
+def choice_loss(combos: DataFrame, mt: DataFrame, chosen_on: DataFrame, priced_on: DataFrame, home: int) -> DataFrame:
+    """(request, priced, best, loss) in micro-minutes: each request's cheapest combination on one travel table, priced on
+    another, against the other's own cheapest."""
+    a = evaluate(combos, mt, chosen_on, home).select("request", "combo", cost_key(F.col("cost")).alias("k1"))
+    b = evaluate(combos, mt, priced_on, home).select("request", "combo", cost_key(F.col("cost")).alias("k2"))
+    picked = a.join(b, ["request", "combo"]).groupBy("request").agg(F.min_by("k2", F.struct("k1", "combo")).alias("priced"), F.min("k2").alias("best"))
+    return picked.withColumn("loss", F.col("priced") - F.col("best"))

@@ -1,13 +1,13 @@
-"""Conflicts, feasible combinations, their evaluation, hard rules and the best K.
+"""Conflicts, feasible combinations, their evaluation, hard rules and the best K, as joins over many requests at once.
 
-Combinations grow course by course; each step joins the next course's sections and removes the pairs in conflict, so no
-infeasible prefix is kept. A combination carries its section ordinals in order, which is also its tie-break.
+Sections are (request, course, ord, ...): what is wanted together, of which course, and a number unique over all
+requests. Combinations grow course by course; each step joins the next course's sections and removes the pairs in
+conflict, so no infeasible prefix is kept. A combination carries its sections' numbers in order, which is also its
+tie-break. `operators/requests.py` searches and counts without making combinations.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,34 +16,44 @@ from waymark.plans.campus import Rules, Weights
 
 
 def conflict_pairs(mt: DataFrame) -> DataFrame:
-    """(a, b), a < b: sections of different courses with overlapping meetings (half-open, same day)."""
-    x = mt.select(F.col("ord").alias("a"), F.col("course").alias("ca"), "day", F.col("s").alias("s1"), F.col("e").alias("e1"))
-    y = mt.select(F.col("ord").alias("b"), F.col("course").alias("cb"), "day", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    met = x.join(y, "day").where("a < b AND ca <> cb AND s1 < e2 AND s2 < e1")
-    return met.select("a", "b").distinct()
+    """(request, a, b), a < b: sections of different courses of a request with overlapping meetings (half-open, same day).
+
+    Meetings meet in buckets of request, day and hour. A pair is made once: in the first hour that its first two
+    overlapping meetings share, so nothing needs to be made distinct.
+    """
+    own = mt.groupBy("request", "ord").agg(F.first("course").alias("course"), F.sort_array(F.collect_list(F.struct("mpos", "day", "s", "e"))).alias("ms"))
+    each = own.select("*", F.explode("ms").alias("m")).select("request", "course", "ord", "ms", "m.*")
+    each = each.withColumn("hour", F.explode(F.sequence(F.floor(F.col("s") / 60), F.floor((F.col("e") - 1) / 60))))
+    x, y = [each.select("request", "day", "hour", *[F.col(c).alias(f"{c}{k}") for c in ("course", "ord", "ms", "mpos", "s", "e")]) for k in (1, 2)]
+    met = x.join(y, ["request", "day", "hour"]).where("ord1 < ord2 AND course1 <> course2 AND s1 < e2 AND s2 < e1 AND hour = greatest(s1, s2) div 60")
+    overlap = lambda p, q: (p["day"] == q["day"]) & (p["s"] < q["e"]) & (q["s"] < p["e"])
+    before = lambda p, q: (p["mpos"] < F.col("mpos1")) | ((p["mpos"] == F.col("mpos1")) & (q["mpos"] < F.col("mpos2")))
+    again = F.exists("ms1", lambda p: F.exists("ms2", lambda q: overlap(p, q) & before(p, q)))
+    return met.where(~again).select("request", F.col("ord1").alias("a"), F.col("ord2").alias("b"))
 
 
 def mrv_order(sec: DataFrame) -> DataFrame:
-    """course, n_sections, pos: courses with the fewest sections first, ties in request order (by course)."""
-    counts = sec.groupBy("course").agg(F.count(F.lit(1)).alias("n_sections"))
-    return counts.withColumn("pos", F.row_number().over(W.orderBy("n_sections", "course")).cast("long"))
-
-
-def feasible_combos(sec: DataFrame, conflicts: DataFrame, order: list[int], cap: int | None = None) -> DataFrame:
-    """combo: array of section ordinals, one per course of `order`, without a conflicting pair."""
-    combos = None
-    for course in order:
-        here = sec.where(F.col("course") == course).select("ord")
-        if combos is None:
-            combos = here.select(F.array("ord").alias("combo"))
-            continue
-        # Each section of the course with the sections it conflicts with: at most the request's sections.
-        clash = conflicts.select(F.col("a").alias("ord"), F.col("b").alias("other")).unionByName(conflicts.select(F.col("b").alias("ord"), F.col("a").alias("other")))
-        against = here.join(clash, "ord", "left").groupBy("ord").agg(F.collect_set("other").alias("others"))
-        combos = combos.join(F.broadcast(against), ~F.arrays_overlap("combo", "others")).select(F.concat("combo", F.array("ord")).alias("combo"))
-        if cap is not None:
-            combos = combos.limit(cap + 1)
-    return combos
+    """request, course, n_sections, pos: courses with the fewest sections first, ties by course."""
+    counts = sec.groupBy("request", "course").agg(F.count(F.lit(1)).alias("n_sections"))
+    return counts.withColumn("pos", F.row_number().over(W.partitionBy("request").orderBy("n_sections", "course")).cast("long"))
+
+
+def feasible_combos(sec: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(request, combo): arrays of one section per course of the request, fewest sections first, without a conflict."""
+    both = conflicts.select("request", F.col("a").alias("ord"), F.col("b").alias("other")).unionByName(conflicts.select("request", F.col("b").alias("ord"), F.col("a").alias("other")))
+    against = both.groupBy("request", "ord").agg(F.collect_set("other").alias("others"))
+    order = mrv_order(sec).withColumn("courses", F.max("pos").over(W.partitionBy("request")))
+    options = sec.select("request", "course", "ord").join(order, ["request", "course"]).join(against, ["request", "ord"], "left")
+    options = options.select("request", "ord", "pos", "courses", "others")
+    most = options.agg(F.max("pos")).first()[0] or 0
+    grown = options.where("pos = 1").select("request", "courses", F.array("ord").alias("combo"))
+    done = grown.where("courses = 1")
+    for pos in range(2, most + 1):
+        here = options.where(F.col("pos") == pos).select("request", "ord", "others")
+        clash = F.coalesce(F.arrays_overlap("combo", "others"), F.lit(False))
+        grown = grown.where(F.col("courses") >= pos).join(here, "request").where(~clash).select("request", "courses", F.concat("combo", F.array("ord")).alias("combo"))
+        done = done.unionByName(grown.where(F.col("courses") == pos))
+    return done.select("request", "combo")
 
 
 def day_rows(combos: DataFrame, mt: DataFrame, pairs: DataFrame, home: int) -> DataFrame:
@@ -52,42 +62,47 @@ def day_rows(combos: DataFrame, mt: DataFrame, pairs: DataFrame, home: int) -> D
     prev: last known building of the day before this meeting, else home; spare: idle minutes since then; slack: spare
     less the way, null for the first located meeting and for unknown rooms.
     """
-    each = combos.select("combo", F.posexplode("combo").alias("cpos", "ord")).join(mt.drop("course"), "ord")
-    day = W.partitionBy("combo", "day").orderBy("s", "e", "cpos", "mpos")
+    each = combos.select("request", "combo", F.posexplode("combo").alias("cpos", "ord")).join(mt.drop("request", "course"), "ord")
+    day = W.partitionBy("request", "combo", "day").orderBy("s", "e", "cpos", "mpos")
     before = day.rowsBetween(W.unboundedPreceding, -1)
     known = F.when(F.col("building") >= 0, F.col("building"))
     each = each.withColumn("last", F.last(known, ignorenulls=True).over(before)).withColumn("idle", F.coalesce(F.col("s") - F.lag("e").over(day), F.lit(0)))
     each = each.withColumn("g", F.coalesce(F.count(known).over(before), F.lit(0)))
-    each = each.withColumn("spare", F.sum("idle").over(W.partitionBy("combo", "day", "g").orderBy("s", "e", "cpos", "mpos").rowsBetween(W.unboundedPreceding, 0)))
+    each = each.withColumn("spare", F.sum("idle").over(W.partitionBy("request", "combo", "day", "g").orderBy("s", "e", "cpos", "mpos").rowsBetween(W.unboundedPreceding, 0)))
     way = pairs.select(F.col("a").alias("prev"), F.col("b").alias("building"), F.col("minutes").alias("way"))
-    each = each.withColumn("prev", F.coalesce("last", F.lit(home))).join(F.broadcast(way), ["prev", "building"], "left")
+    each = each.withColumn("prev", F.coalesce("last", F.lit(home))).join(way, ["prev", "building"], "left")
     return each.withColumn("slack", F.when(known.isNotNull() & F.col("last").isNotNull(), F.col("spare") - F.col("way")))
 
 
 def legs(combos: DataFrame, mt: DataFrame, pairs: DataFrame, home: int) -> DataFrame:
-    """combo, day, leg, from_b, to_b, minutes, slack: the way to each located meeting, then home."""
+    """request, combo, day, leg, from_b, to_b, minutes, slack: the way to each located meeting, then home."""
     rows = day_rows(combos, mt, pairs, home).where("building >= 0")
-    number = F.row_number().over(W.partitionBy("combo", "day").orderBy("s", "e", "cpos", "mpos")).cast("long")
-    out = rows.select("combo", "day", number.alias("leg"), F.col("prev").alias("from_b"), F.col("building").alias("to_b"), F.col("way").alias("minutes"), "slack")
-    ends = out.groupBy("combo", "day").agg((F.max("leg") + 1).alias("leg"), F.max_by("to_b", "leg").alias("from_b"))
-    back = ends.join(F.broadcast(pairs.where(F.col("b") == home).select(F.col("a").alias("from_b"), "minutes")), "from_b", "left")
-    return out.unionByName(back.select("combo", "day", "leg", "from_b", F.lit(home).alias("to_b"), "minutes", F.lit(None).cast("double").alias("slack")))
+    number = F.row_number().over(W.partitionBy("request", "combo", "day").orderBy("s", "e", "cpos", "mpos")).cast("long")
+    out = rows.select("request", "combo", "day", number.alias("leg"), F.col("prev").alias("from_b"), F.col("building").alias("to_b"), F.col("way").alias("minutes"), "slack")
+    ends = out.groupBy("request", "combo", "day").agg((F.max("leg") + 1).alias("leg"), F.max_by("to_b", "leg").alias("from_b"))
+    back = ends.join(pairs.where(F.col("b") == home).select(F.col("a").alias("from_b"), "minutes"), "from_b", "left")
+    return out.unionByName(back.select("request", "combo", "day", "leg", "from_b", F.lit(home).alias("to_b"), "minutes", F.lit(None).cast("double").alias("slack")))
 
 
 def evaluate(combos: DataFrame, mt: DataFrame, pairs: DataFrame, home: int, weights: Weights = Weights()) -> DataFrame:
-    """combo, travel, late, gap, days, cost: each day from home through its known rooms and back."""
+    """request, combo, travel, late, gap, days, cost: each day from home through its known rooms and back.
+
+    A combination whose sections have no meetings costs nothing.
+    """
     rows = day_rows(combos, mt, pairs, home)
     located = F.col("building") >= 0
-    per_day = rows.groupBy("combo", "day").agg(
+    per_day = rows.groupBy("request", "combo", "day").agg(
         F.sum(F.when(located, F.col("way"))).alias("way"), F.sum(F.greatest(-F.col("slack"), F.lit(0.0))).alias("late"), F.sum(F.greatest("slack", F.lit(0.0))).alias("gap"),
         F.max_by(F.when(located, F.col("building")), F.when(located, F.struct("s", "e", "cpos", "mpos"))).alias("end"),
     )
     back = pairs.where(F.col("b") == home).select(F.col("a").alias("end"), F.col("minutes").alias("back"))
-    per_day = per_day.join(F.broadcast(back), "end", "left")
-    total = per_day.groupBy("combo").agg(
+    per_day = per_day.join(back, "end", "left")
+    total = per_day.groupBy("request", "combo").agg(
         F.sum(F.coalesce("way", F.lit(0.0)) + F.coalesce("back", F.lit(0.0))).alias("travel"), F.sum(F.coalesce("late", F.lit(0.0))).alias("late"),
         F.sum(F.coalesce("gap", F.lit(0.0))).alias("gap"), F.count(F.lit(1)).alias("days"),
     )
+    total = combos.select("request", "combo").join(total, ["request", "combo"], "left")
+    total = total.select("request", "combo", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("travel", "late", "gap")], F.coalesce("days", F.lit(0)).cast("long").alias("days"))
     w = weights
     return total.withColumn("cost", w.travel * F.col("travel") + w.late * F.col("late") + w.day * F.col("days") + w.gap * F.col("gap"))
 
@@ -98,9 +113,10 @@ def cost_key(cost: Column) -> Column:
 
 
 def top_k(evaluated: DataFrame, k: int, offset: int = 0) -> DataFrame:
-    """The K cheapest, ties in order of the section ordinals; rank from 1. A larger K only appends."""
-    best = evaluated.withColumn("cost_key", cost_key(F.col("cost"))).orderBy("cost_key", "combo").limit(offset + k)
-    return best.withColumn("rank", F.row_number().over(W.orderBy("cost_key", "combo")).cast("long")).where(F.col("rank") > offset)
+    """The K cheapest of each request, ties in order of the sections' numbers; rank from 1. A larger K only appends."""
+    best = evaluated.withColumn("cost_key", cost_key(F.col("cost")))
+    best = best.withColumn("rank", F.row_number().over(W.partitionBy("request").orderBy("cost_key", "combo")).cast("long"))
+    return best.where((F.col("rank") > offset) & (F.col("rank") <= offset + k))
 
 
 def lunch_gap(busy: Column, lunch: tuple[int, int, int]) -> Column:
@@ -127,48 +143,10 @@ def _of_day(days: Column, day: int) -> Column:
 
 
 def admitted(combos: DataFrame, mt: DataFrame, rules: Rules) -> DataFrame:
-    """Combinations that keep the rules."""
-    each = combos.select("combo", F.explode("combo").alias("ord")).join(mt.select("ord", "day", "s", "e"), "ord")
-    days = each.groupBy("combo").agg(F.collect_list(F.struct("day", "s", "e")).alias("days"))
-    return days.where(obeys(F.col("days"), rules)).select("combo")
-
-
-SLOTS_PER_WORD = 60
-
-
-def _slot_words(days: int = 7, slots: int = 144) -> int:
-    return -(-days * slots // SLOTS_PER_WORD)
-
-
-def section_masks(mt: DataFrame, step: int = 5) -> DataFrame:
-    """ord, course, m0..mk: which `step`-minute slots of the week a section takes, in words of 60 bits."""
-    slots = 1440 // step
-    words = _slot_words(7, slots)
-    each = mt.select("ord", "course", F.explode(F.sequence(F.col("day") * slots + F.floor(F.col("s") / step), F.col("day") * slots + F.ceil(F.col("e") / step) - 1)).alias("slot"))
-    bit = F.expr(f"shiftleft(1L, cast(slot % {SLOTS_PER_WORD} as int))")
-    aggs = [F.coalesce(F.bit_or(F.when(F.floor(F.col("slot") / SLOTS_PER_WORD) == k, bit)), F.lit(0).cast("long")).alias(f"m{k}") for k in range(words)]
-    return each.groupBy("ord", "course").agg(*aggs)
-
-
-def count_feasible(masks: DataFrame, order: list[int]) -> DataFrame:
-    """The exact number of feasible combinations, without making them: (n decimal(38,0)).
-
-    Sections of a course with equal slots count as one with a multiplicity, and so do equal states of taken slots after
-    each course; slots that no later course uses are cleared from the state first, so more states are equal.
-    """
-    names = [c for c in masks.columns if c.startswith("m")]
-    masks = masks.persist()  # a request's sections; every level reads them
-    state = None
-    for i, course in enumerate(order):
-        later = masks.where(F.col("course").isin(order[i + 1 :])).agg(*[F.coalesce(F.bit_or(c), F.lit(0).cast("long")).alias(f"l_{c}") for c in names])
-        here = masks.where(F.col("course") == course).groupBy(*names).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("ways"))
-        if state is None:
-            joined = here
-        else:
-            free = reduce(lambda a, b: a & b, [F.col(c).bitwiseAND(F.col(f"s_{c}")) == 0 for c in names])
-            joined = state.join(F.broadcast(here), free).select(*[F.col(c).bitwiseOR(F.col(f"s_{c}")).alias(c) for c in names], (F.col("ways") * F.col("s_ways")).cast("decimal(38,0)").alias("ways"))
-        state = joined.crossJoin(F.broadcast(later)).groupBy(*[F.col(c).bitwiseAND(F.col(f"l_{c}")).alias(f"s_{c}") for c in names]).agg(F.sum("ways").cast("decimal(38,0)").alias("s_ways"))
-    return state.agg(F.coalesce(F.sum("s_ways"), F.lit(0)).cast("decimal(38,0)").alias("n"))
+    """Combinations that keep the rules; one without meetings keeps them all."""
+    each = combos.select("request", "combo", F.explode("combo").alias("ord")).join(mt.select("ord", "day", "s", "e"), "ord", "left")
+    days = each.groupBy("request", "combo").agg(F.collect_list(F.when(F.col("day").isNotNull(), F.struct("day", "s", "e"))).alias("days"))
+    return days.where(obeys(F.col("days"), rules)).select("request", "combo")
 
 
 def twin_groups(mt: DataFrame) -> DataFrame:
@@ -176,44 +154,3 @@ def twin_groups(mt: DataFrame) -> DataFrame:
     sign = mt.groupBy("course", "ord").agg(F.array_sort(F.collect_list(F.struct("day", "s", "e", "building"))).alias("sig"))
     groups = sign.groupBy("course", "sig").agg(F.array_sort(F.collect_list("ord")).alias("all"))
     return groups.select("course", F.col("all")[0].alias("first"), F.slice("all", F.lit(2), F.size("all")).alias("twins"))
-
-
-def find_conflicts(sec: DataFrame, mt: DataFrame, order: list[int]) -> list[int]:
-    """A smallest set, by deletion, of courses that have no schedule together: [] if all of them have one."""
-    masks = section_masks(mt).cache()
-
-    def possible(some: list[int]) -> bool:
-        return not some or count_feasible(masks, some).first()[0] > 0
-
-    try:
-        if possible(order):
-            return []
-        for i, a in enumerate(order):
-            for b in order[i + 1 :]:
-                if not possible([a, b]):
-                    return [a, b]
-        left = list(order)
-        for c in order:
-            if len(left) > 1 and not possible(rest := [x for x in left if x != c]):
-                left = rest
-        return left
-    finally:
-        masks.unpersist()
-
-
-def why_none(sec: DataFrame, mt: DataFrame, order: list[int], rules: Rules) -> str:
-    """Why no schedule exists: overlap, free_days, lunch, rules (only together), or none (one exists)."""
-    conflicts = conflict_pairs(mt)
-
-    def possible(r: Rules) -> bool:
-        return not admitted(feasible_combos(sec, conflicts, order), mt, r).isEmpty()
-
-    if possible(rules):
-        return "none"
-    if not possible(Rules()):
-        return "overlap"
-    if rules.free_days and not possible(Rules(free_days=rules.free_days)):
-        return "free_days"
-    if rules.lunch and not possible(Rules(lunch=rules.lunch)):
-        return "lunch"
-    return "rules"

@@ -103,46 +103,63 @@ def fit_slope_factor(rows: DataFrame, walker: str, ks: list[float]) -> DataFrame
 
 
 def isotonic(rows: DataFrame, who: str, at: str, value: str, weight: str) -> DataFrame:
-    """Per walk the nondecreasing series nearest in weighted squares (pool adjacent violators)."""
+    """Per walk the nondecreasing series nearest in weighted squares; weights are positive.
+
+    It is the slope of the lower hull of the cumulative sums: a boundary between blocks goes where the block before it
+    has the greater mean, all such boundaries at once, until none is left.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t", kind="stable")
-        level, mass, size = [], [], []
-        for v, m in zip(pdf["v"].to_numpy(float), pdf["w"].to_numpy(float), strict=True):
-            level.append(v)
-            mass.append(m)
-            size.append(1)
-            while len(level) > 1 and level[-2] > level[-1]:
-                total = mass[-2] + mass[-1]
-                level[-2:] = [(level[-2] * mass[-2] + level[-1] * mass[-1]) / total]
-                mass[-2:] = [total]
-                size[-2:] = [size[-2] + size[-1]]
-        return pdf.assign(fitted=np.repeat(level, size))[["who", "t", "fitted"]]
+        mass = np.concatenate([[0], np.cumsum(pdf["w"].to_numpy(float))])
+        total = np.concatenate([[0], np.cumsum((pdf["w"] * pdf["v"]).to_numpy(float))])
+        edge = np.arange(len(mass))
+        while True:
+            mean = np.diff(total[edge]) / np.diff(mass[edge])
+            falls = np.flatnonzero(mean[:-1] > mean[1:]) + 1
+            if not len(falls):
+                return pdf.assign(fitted=np.repeat(mean, np.diff(edge)))[["who", "t", "fitted"]]
+            edge = np.delete(edge, falls)
 
     own = rows.select(F.col(who).alias("who"), F.col(at).cast("double").alias("t"), F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
     return own.groupBy("who").applyInPandas(fit, f"who {own.schema['who'].dataType.simpleString()}, t double, fitted double")
 
 
+def line_places(x: Column, y: Column, line: np.ndarray, slack: float) -> Column:
+    """array<struct<off, s>>, nearest first: for each segment of a polyline not more than `slack` further from (x, y) than
+    the nearest, the distance and the place along the line."""
+    size = np.hypot(*np.diff(line, axis=0).T)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    parts = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("ax", "ay", "bx", "by", "size", "begin"), (*a, *b, w, s), strict=True)]) for a, b, w, s in zip(line[:-1], line[1:], size, begin, strict=True)])
+
+    def along(g: Column) -> Column:
+        dot = (x - g["ax"]) * (g["bx"] - g["ax"]) + (y - g["ay"]) * (g["by"] - g["ay"])
+        u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(dot / F.nullif(g["size"] * g["size"], F.lit(0.0)), F.lit(0.0))))
+        return F.struct(g["ax"].alias("ax"), g["ay"].alias("ay"), g["bx"].alias("bx"), g["by"].alias("by"), u.alias("u"), (g["begin"] + u * g["size"]).alias("s"))
+
+    def place(p: Column) -> Column:
+        off = F.hypot(p["ax"] + p["u"] * (p["bx"] - p["ax"]) - x, p["ay"] + p["u"] * (p["by"] - p["ay"]) - y)
+        return F.struct(off.alias("off"), p["s"].alias("s"))
+
+    every = F.array_sort(F.transform(F.transform(parts, along), place))
+    return F.transform(F.array(every), lambda ps: F.filter(ps, lambda p: p["off"] <= F.get(ps, F.lit(0))["off"] + slack))[0]
+
+
 def map_match(points: DataFrame, line: np.ndarray, slack: float = 8.0) -> DataFrame:
     """(walk, t, x, y) with s, the place along a polyline (metres), and off, the distance from it.
 
-    Of the segments within `slack` metres of the nearest, the place nearest to the walk's previous one.
+    A point's places are made by row (see line_places); a walk then goes from place to place in order of time, each time
+    to the one nearest to where it is; it begins at the nearest to its first point.
     """
-    a, b = line[:-1], line[1:]
-    d = b - a
-    size = np.hypot(*d.T)
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, out = pdf.sort_values("t", kind="stable"), None, []
-        for p in pdf[["x", "y"]].to_numpy(float):
-            u = np.clip(((p - a) * d).sum(1) / np.maximum(size**2, 1e-12), 0, 1)
-            off = np.hypot(*(a + d * u[:, None] - p).T)
-            s = begin + u * size
-            near = off <= off.min() + slack
-            i = int(np.argmin(np.where(near, np.abs(s - last) if last is not None else off, np.inf)))
-            last = s[i]
-            out.append((s[i], off[i]))
-        return pdf.assign(s=[x for x, _ in out], off=[x for _, x in out])[["walk", "t", "s", "off"]]
-
-    return points.groupBy("walk").applyInPandas(match, f"walk {points.schema['walk'].dataType.simpleString()}, t double, s double, off double")
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, here, taken = pdf.sort_values("t", kind="stable"), None, []
+        for offs, places in zip(pdf["offs"], pdf["places"], strict=True):
+            k = 0 if here is None else int(np.abs(places - here).argmin())
+            here = places[k]
+            taken.append((here, offs[k]))
+        return pdf[["walk", "t"]].assign(s=[s for s, _ in taken], off=[off for _, off in taken])
+
+    near = points.select("walk", F.col("t").cast("double").alias("t"), line_places(F.col("x"), F.col("y"), line, slack).alias("p"))
+    near = near.select("walk", "t", F.col("p.off").alias("offs"), F.col("p.s").alias("places"))
+    return near.groupBy("walk").applyInPandas(follow, f"walk {points.schema['walk'].dataType.simpleString()}, t double, s double, off double")

@@ -1,13 +1,16 @@
-"""The travel matrix: lookup with fallbacks, closure, triangle check, bounds."""
+"""The travel matrix: lookup with fallbacks, closure, triangle check."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine_m, walk_minutes
 from waymark.plans.campus import MatrixParams
-from waymark.plans.store import Store
 
 
 def pair_grid(travel: DataFrame, buildings: DataFrame, params: MatrixParams = MatrixParams()) -> DataFrame:
@@ -26,22 +29,30 @@ def pair_grid(travel: DataFrame, buildings: DataFrame, params: MatrixParams = Ma
     return grid.select("a", "b", F.coalesce(same, "there", back, guess, F.lit(params.default)).alias("minutes"), source.alias("source"))
 
 
+def shortest_matrix(table: np.ndarray) -> np.ndarray:
+    """Shortest ways over a square table of direct ones (inf where there is none), through any of its places."""
+    out = table.copy()
+    np.fill_diagonal(out, np.minimum(np.diagonal(out), 0.0))
+    for k in range(len(out)):
+        np.minimum(out, out[:, k, None] + out[None, k, :], out=out)
+    return out
+
+
 def closure(grid: DataFrame, ids: list[int]) -> DataFrame:
-    """a, b, minutes: shortest over all ways through `ids`.
+    """a, b, minutes: shortest over all ways through `ids`, in one Arrow task: ids are one campus's buildings, and the
+    table has their square. Pairs without a way don't appear."""
 
-    Doubling min-plus products: each step joins the table with itself on the middle point, and is written so that the
-    plan doesn't double with it. ids are a request's buildings; the table has their square.
-    """
-    store = Store(grid.sparkSession, "closure")
-    table = store.put(grid.where(F.col("a").isin(ids) & F.col("b").isin(ids)).select("a", "b", "minutes").coalesce(1), "step0")
-    steps = 1
-    while steps < max(1, len(ids) - 1):
-        left = table.select("a", F.col("b").alias("m"), F.col("minutes").alias("x"))
-        right = table.select(F.col("a").alias("m"), "b", F.col("minutes").alias("y"))
-        table = left.join(right, "m").groupBy("a", "b").agg(F.min(F.col("x") + F.col("y")).alias("minutes"))
-        table = store.put(table.coalesce(1), f"step{steps}")
-        steps *= 2
-    return table
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches)
+        names = np.unique(np.concatenate([rows["a"], rows["b"]]))
+        table = np.full((len(names), len(names)), np.inf)
+        table[np.searchsorted(names, rows["a"]), np.searchsorted(names, rows["b"])] = rows["minutes"]
+        table = shortest_matrix(table)
+        a, b = np.nonzero(np.isfinite(table))
+        yield pd.DataFrame({"a": names[a], "b": names[b], "minutes": table[a, b]})
+
+    own = grid.where(F.col("a").isin(ids) & F.col("b").isin(ids)).select("a", "b", "minutes")
+    return own.repartition(1).mapInPandas(close, own.schema)
 
 
 def triangle_violations(grid: DataFrame, tolerance: float = 0.5) -> DataFrame:
@@ -51,28 +62,3 @@ def triangle_violations(grid: DataFrame, tolerance: float = 0.5) -> DataFrame:
     y = grid.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("minutes").alias("y"))
     both = x.join(y, "b").where("a <> b AND b <> c AND a <> c").join(direct, ["a", "c"])
     return both.where(F.col("direct") > F.col("x") + F.col("y") + tolerance).select("a", "b", "c", (F.col("direct") - F.col("x") - F.col("y")).alias("excess"))
-
-
-def cluster_distances(sec_buildings: DataFrame, closed: DataFrame, home: int) -> DataFrame:
-    """c1, c2, d: least way between any two rooms of two courses in either direction; course -1 is home."""
-    rooms = sec_buildings.select("course", "building").distinct()
-    rooms = rooms.unionByName(rooms.sparkSession.createDataFrame([(-1, home)], "course long, building int").select(F.col("course").cast(rooms.schema["course"].dataType).alias("course"), "building"))
-    x = rooms.select(F.col("course").alias("c1"), F.col("building").alias("a"))
-    y = rooms.select(F.col("course").alias("c2"), F.col("building").alias("b"))
-    met = x.join(closed, "a").join(y, "b").where("c1 <> c2")
-    one = met.groupBy("c1", "c2").agg(F.min("minutes").alias("d"))
-    return one.join(one.select(F.col("c1").alias("c2"), F.col("c2").alias("c1"), F.col("d").alias("r")), ["c1", "c2"]).select("c1", "c2", F.least("d", "r").alias("d"))
-
-
-def tsp_lower_bound(distances: DataFrame, courses: list[int]) -> DataFrame:
-    """(bound): the shortest round trip from home through all clusters, by dynamic programming over visited sets."""
-    distances = distances.persist()  # a request's courses squared; each step of the program reads it
-    number = F.create_map(*[x for i, c in enumerate(courses) for x in (F.lit(c), F.lit(1 << i))])
-    d = distances.withColumn("bit2", number[F.col("c2").cast("int")])
-    state = d.where("c1 = -1").select(F.col("c2").alias("at"), F.col("bit2").alias("mask"), F.col("d").alias("cost"))
-    hop = d.where("c1 <> -1 AND c2 <> -1").select(F.col("c1").alias("at"), F.col("c2").alias("to"), F.col("bit2").alias("bit"), F.col("d").alias("step"))
-    for _ in range(len(courses) - 1):
-        state = state.join(hop, "at").where(F.col("mask").bitwiseAND(F.col("bit")) == 0)
-        state = state.groupBy(F.col("to").alias("at"), F.col("mask").bitwiseOR(F.col("bit")).alias("mask")).agg(F.min(F.col("cost") + F.col("step")).alias("cost"))
-    home = d.where("c2 = -1").select(F.col("c1").alias("at"), F.col("d").alias("last"))
-    return state.join(home, "at").agg(F.min(F.col("cost") + F.col("last")).alias("bound"))

@@ -44,23 +44,23 @@ class Rules:
     lunch: tuple[int, int, int] | None = None
 
 
-def sections(spark: SparkSession, sf_dir: str, limit: int | None, courses: int) -> DataFrame:
-    """ord, course, d0, start_min, len, building."""
+def sections(spark: SparkSession, sf_dir: str, courses: int, per: int | None = None) -> DataFrame:
+    """request, ord, course, d0, start_min, len, building over all events; a request is `per` events that follow each
+    other, or all of them."""
     events = table(spark, sf_dir, "events")
-    if limit is not None:
-        events = events.where(F.col("event_id") < limit)
+    request = F.floor(F.col("event_id") / per) if per else F.lit(0)
     return events.select(
-        F.col("event_id").alias("ord"), (F.col("user_id") % courses).alias("course"), (F.weekday("ts") % 5).alias("d0"), (F.lit(480) + 30 * (F.minute("ts") % 20)).alias("start_min"),
+        request.cast("long").alias("request"), F.col("event_id").alias("ord"), (F.col("user_id") % courses).alias("course"), (F.weekday("ts") % 5).alias("d0"), (F.lit(480) + 30 * (F.minute("ts") % 20)).alias("start_min"),
         F.element_at(F.array(F.lit(50), F.lit(75), F.lit(110)), (F.col("event_id") % 3 + 1).cast("int")).alias("len"),
         F.when(F.col("event_id") % 11 == 0, -1).otherwise(F.col("event_id") * 7 % 25).cast("int").alias("building"),
     )
 
 
 def meetings(sec: DataFrame) -> DataFrame:
-    """ord, course, mpos, day, s, e, building: one meeting, and a second two days later for even sections."""
+    """request, ord, course, mpos, day, s, e, building: one meeting, and a second two days later for even sections."""
     second = F.when(F.col("ord") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     each = sec.select("*", F.explode(second).alias("mpos"))
-    return each.select("ord", "course", "mpos", F.when(F.col("mpos") == 0, F.col("d0")).otherwise((F.col("d0") + 2) % 7).alias("day"), F.col("start_min").alias("s"), (F.col("start_min") + F.col("len")).alias("e"), "building")
+    return each.select("request", "ord", "course", "mpos", F.when(F.col("mpos") == 0, F.col("d0")).otherwise((F.col("d0") + 2) % 7).alias("day"), F.col("start_min").alias("s"), (F.col("start_min") + F.col("len")).alias("e"), "building")
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +76,13 @@ def travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", (1 + (F.col("a") * 7 + F.col("b") * 13) % 17).cast("double").alias("minutes"))
 
 
-def sql_sections(limit: int | None, courses: int) -> str:
+def sql_sections(courses: int, per: int | None = None, where: str = "true") -> str:
     """The same as common table expressions of DuckDB: sec, mt, travel, bld."""
-    where = f"WHERE event_id < {limit}" if limit is not None else ""
-    return f"""sec AS (SELECT event_id AS ord, user_id % {courses} AS course, ((isodow(ts) - 1) % 5)::INTEGER AS d0, (480 + 30 * (minute(ts) % 20))::INTEGER AS start_min, [50, 75, 110][event_id % 3 + 1]::INTEGER AS len,
-                CASE WHEN event_id % 11 = 0 THEN -1 ELSE event_id * 7 % 25 END::INTEGER AS building FROM events {where}),
-        mt AS (SELECT ord, course, 0 AS mpos, d0 AS day, start_min AS s, start_min + len AS e, building FROM sec
-               UNION ALL SELECT ord, course, 1, (d0 + 2) % 7, start_min, start_min + len, building FROM sec WHERE ord % 2 = 0),
+    request = f"event_id // {per}" if per else "0"
+    return f"""sec AS (SELECT ({request})::BIGINT AS request, event_id AS ord, user_id % {courses} AS course, ((isodow(ts) - 1) % 5)::INTEGER AS d0, (480 + 30 * (minute(ts) % 20))::INTEGER AS start_min, [50, 75, 110][event_id % 3 + 1]::INTEGER AS len,
+                CASE WHEN event_id % 11 = 0 THEN -1 ELSE event_id * 7 % 25 END::INTEGER AS building FROM events WHERE {where}),
+        mt AS (SELECT request, ord, course, 0 AS mpos, d0 AS day, start_min AS s, start_min + len AS e, building FROM sec
+               UNION ALL SELECT request, ord, course, 1, (d0 + 2) % 7, start_min, start_min + len, building FROM sec WHERE ord % 2 = 0),
         {SQL_TRAVEL}"""
 
 
