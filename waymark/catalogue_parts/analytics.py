@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from waymark.functions import geo
 from waymark.functions import text as X
+from waymark.operators import catalog as K
 from waymark.operators import changes as D
+from waymark.operators import reports as P
 from waymark.operators import stats as A
 from waymark.plans import campus as C
 
@@ -36,7 +39,7 @@ def time_codec(spark, sf):
 def natural_sort(spark, sf):
     names = F.concat((F.col("p_partkey") % 30).cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("-"), (F.col("p_size") % 12).cast("string"))).when(F.col("p_partkey") % 5 == 0, F.lit("A")).otherwise(F.lit("")))
     parts = C.table(spark, sf, "part").select(names.alias("name")).distinct()
-    return parts.select("name", F.row_number().over(W.orderBy(X.natural_key(F.col("name")))).alias("place"))
+    return K.ranked(parts, [X.natural_key(F.col("name"))], "place").withColumn("place", F.col("place").cast("int"))
 
 
 def section_numbers(spark, sf):
@@ -73,16 +76,14 @@ def spread_summary(spark, sf):
 
 def spread_by_period(spark, sf):
     ev = C.table(spark, sf, "events").select(F.weekday("ts").alias("period"), (F.col("user_id") % 60).alias("course"), F.when(F.col("event_id") % 11 != 0, (F.col("event_id") * 7) % 25).cast("int").alias("building"))
-    per = ev.groupBy("period", "course").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("building").alias("nb"))
-    return per.where("n >= 2").groupBy("period").agg(F.count(F.lit(1)).alias("courses"), F.count_if(F.col("nb") >= 2).alias("spread"), F.round(F.avg("nb"), 6).alias("mean_buildings"))
+    return P.spread_by_period(ev).withColumn("mean_buildings", F.round("mean_buildings", 6))
 
 
 def building_history(spark, sf):
     o = C.table(spark, sf, "orders")
     label = F.concat(F.year("o_orderdate").cast("string"), F.lit("-"), F.element_at(F.array(*map(F.lit, "1S2W")), F.quarter("o_orderdate").cast("int")))
     rows = o.select((F.col("o_custkey") % 200).alias("building"), label.alias("semester"))
-    key = X.semester_key(F.col("semester"))
-    return rows.groupBy("building").agg(F.min_by("semester", key).alias("first"), F.max_by("semester", key).alias("last"), F.countDistinct("semester").alias("semesters"), F.count(F.lit(1)).alias("sections"))
+    return K.place_history(rows, X.semester_key(F.col("semester")))
 
 
 def _walks(spark, sf) -> DataFrame:
@@ -95,8 +96,8 @@ def choice_percentile(spark, sf):
 
 
 def random_baseline(spark, sf):
-    g = _walks(spark, sf).groupBy("bundle").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cost"), 8).alias("mean"), F.round(F.percentile("cost", 0.5), 4).alias("median"), F.max("cost").alias("most"), F.round(F.avg((F.col("cost") > 200000).cast("int")), 6).alias("late_share"))
-    return g
+    out = P.random_baseline(_walks(spark, sf), "bundle", "cost", F.col("cost") - 200000)
+    return out.select("bundle", "n", F.round("mean", 8).alias("mean"), F.round("median", 4).alias("median"), "most", F.round("late_share", 6).alias("late_share"), F.round("mean_late", 8).alias("mean_late"))
 
 
 def bundle_quantiles(spark, sf):
@@ -124,14 +125,12 @@ def walker_calibration(spark, sf):
 def ci_cohorts(spark, sf):
     o, c, n = C.table(spark, sf, "orders"), C.table(spark, sf, "customer"), C.table(spark, sf, "nation")
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    g = rows.groupBy(F.col("n_regionkey").alias("college"), F.col("n_nationkey").alias("dept"), (F.month("o_orderdate") % 4 + 1).alias("year"))
-    return g.agg(F.count(F.lit(1)).alias("members"), F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("weight")).where("members >= 2")
+    people = rows.select(F.col("n_regionkey").alias("college"), F.col("n_nationkey").alias("dept"), (F.month("o_orderdate") % 4 + 1).alias("year"), "o_orderstatus")
+    return P.cohorts(people, ["college", "dept", "year"], F.col("o_orderstatus") == "F")
 
 
 def return_trip_ratio(spark, sf):
-    t = C.travel(spark, sf)
-    back = t.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("minutes").alias("back"))
-    return t.join(back, ["a", "b"]).where("a < b").select("a", "b", "minutes", "back", F.round(F.greatest("minutes", "back") / F.least("minutes", "back"), 6).alias("ratio"))
+    return K.return_trips(C.travel(spark, sf)).where("a < b").select("a", "b", "minutes", "back", F.round("ratio", 6).alias("ratio"))
 
 
 def _snapshots(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -185,21 +184,16 @@ def source_precedence(spark, sf):
 
 
 def anti_done_pairs(spark, sf):
-    ids = C.buildings(spark, sf).select(F.col("building").alias("a"))
-    todo = ids.join(ids.select(F.col("a").alias("b")), F.col("a") < F.col("b"))
-    return todo.join(C.travel(spark, sf).select("a", "b"), ["a", "b"], "left_anti")
+    return K.remaining_pairs(C.buildings(spark, sf).select(F.col("building").alias("id")), C.travel(spark, sf))
 
 
 def semi_hubs(spark, sf):
     t = C.travel(spark, sf)
-    hubs = t.groupBy("a").agg(F.sum("minutes").alias("m")).where("m < 190").select(F.col("a").alias("hub"))
-    return t.join(hubs, F.col("a") == F.col("hub"), "left_semi").join(hubs, F.col("b") == F.col("hub"), "left_semi")
+    return K.between_hubs(t, t.groupBy("a").agg(F.sum("minutes").alias("m")).where("m < 190").select(F.col("a").alias("hub")))
 
 
 def topn_report(spark, sf):
-    t = C.travel(spark, sf)
-    back = t.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("minutes").alias("back"))
-    return t.join(back, ["a", "b"]).select("a", "b", (F.col("minutes") - F.col("back")).alias("gap")).orderBy(F.desc("gap"), "a", "b").limit(10)
+    return P.extremes(K.return_trips(C.travel(spark, sf)), F.col("added"), 10, "a", "b").select("a", "b", "gap")
 
 
 def recent_distinct(spark, sf):
@@ -225,33 +219,78 @@ def json_props(spark, sf):
 
 
 def keyword_find(spark, sf):
-    p = C.table(spark, sf, "part")
-    hit = F.lower("p_name").contains("ring") | F.lower("p_brand").contains("#1")
-    return p.where(hit).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("name"))
+    p = C.table(spark, sf, "part").where(K.contains_keyword("RING", F.col("p_name")) | K.contains_keyword("#1", F.col("p_brand")))
+    return p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("name"))
 
 
 def lecture_load(spark, sf):
-    return _catalogue(spark, sf).select(F.explode("buildings").alias("building")).groupBy("building").agg(F.count(F.lit(1)).alias("sections"))
+    return K.lecture_load(_catalogue(spark, sf))
 
 
 def meeting_groups(spark, sf):
-    mt = C.meetings(C.sections(spark, sf, 60))
-    return mt.groupBy("course", "s", "e", "building").agg(F.array_join(F.array_sort(F.collect_set("day")), ",").alias("days"))
+    return K.meeting_groups(C.meetings(C.sections(spark, sf, 60)), ["course"]).withColumn("days", F.array_join("days", ","))
 
 
 def eligibility_years(spark, sf):
-    """Year codes from texts: 'N학년' at the start, null otherwise."""
+    """Year codes from texts: the digit at the start."""
     text = F.concat(F.lit(" "), (F.col("p_size") % 7).cast("string"), F.when(F.col("p_size") % 2 == 0, F.lit("학년")).otherwise(F.lit("-")))
-    return C.table(spark, sf, "part").select("p_partkey", F.nullif(F.regexp_extract(text, r"^\s*(\d)", 1), F.lit("")).try_cast("int").alias("year"))
+    return C.table(spark, sf, "part").select("p_partkey", X.year_of(text).alias("year"))
 
 
 def stress_courses(spark, sf):
-    return _catalogue(spark, sf).groupBy("course").agg(F.count(F.lit(1)).alias("enrolled")).orderBy(F.desc("enrolled"), "course").limit(8)
+    return P.largest(_catalogue(spark, sf), "course", 8)
+
+
+def spread_report(spark, sf):
+    """Courses in the order of a report: most buildings, then the farthest pair, then the course."""
+    spread = A.building_spread(_catalogue(spark, sf), C.travel(spark, sf))
+    return P.spread_order(spread).select("course", F.col("place").cast("long").alias("place"))
+
+
+def matrix_difference(spark, sf):
+    """How the travel table differs from the way back's."""
+    t = K.return_trips(C.travel(spark, sf))
+    return P.difference_report(t, F.col("minutes"), F.col("back")).select("n", *[F.round(c, 6).alias(c) for c in ("median", "median_abs", "p90_abs", "least", "most")], "over0", "above0", "below0", "over1", "above1", "below1")
+
+
+def checkpoint_errors(spark, sf):
+    li = C.table(spark, sf, "lineitem").select(F.col("l_quantity").alias("z"), F.when(F.col("l_linenumber") != 3, F.col("l_quantity") + F.col("l_tax") * 10 - 0.3).alias("measured"))
+    return P.checkpoint_errors(li).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "mae", "p95", "most")])
+
+
+def text_pairs(spark, sf):
+    """Pairs of places as they are typed."""
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit("R"), k, F.lit(":GATE-"), k % 90)).when(k % 4 == 1, F.concat(k % 70, F.lit("-1>"), k % 90)).when(k % 4 == 2, F.concat(k % 70, F.lit("-1-"), k % 90)).otherwise(F.concat(F.lit("GATE-"), k % 90))
+    return C.table(spark, sf, "part").select("p_partkey", X.parse_pair(text).alias("p")).select("p_partkey", "p.name", "p.a", "p.b")
+
+
+def rough_counts(spark, sf):
+    return C.table(spark, sf, "orders").select("o_orderkey", X.rough_count(F.col("o_orderkey") * F.col("o_custkey")).alias("rough"))
+
+
+def cleaned_cells(spark, sf):
+    """Titles, credits and search names from raw cells."""
+    k = F.col("p_partkey")
+    sub = F.when(k % 3 == 0, F.lit(" nan ")).when(k % 3 == 1, F.concat(F.lit("part "), F.col("p_size")))
+    credit = F.when(k % 4 == 0, F.lit("3")).when(k % 4 == 1, F.lit("1.5 ")).when(k % 4 == 2, F.lit("two"))
+    name = F.concat("p_name", F.lit(": theory (2)"))
+    return C.table(spark, sf, "part").select("p_partkey", X.titled(F.col("p_name"), sub).alias("title"), X.credits(credit).alias("credits"), X.name_before_colon(name).alias("searched"))
+
+
+def built_ids(spark, sf):
+    return C.table(spark, sf, "part").select("p_partkey", X.content_id(F.array(F.col("p_name").cast("binary"), F.col("p_brand").cast("binary"))).alias("id"))
+
+
+def slope_model(spark, sf):
+    e = F.col("event_id")
+    return C.table(spark, sf, "events").select("event_id", F.round(geo.unit_time(e % 90 + 10.0, (e % 81 - 40) / 50, 2.5, e % 7 == 0), 6).alias("seconds"))
 
 
 NAMES = """parse_building parse_meetings time_codec natural_sort section_numbers count_label location_stats building_spread spread_summary spread_by_period building_history choice_percentile random_baseline
 bundle_quantiles ci95 error_metrics cv_by_group walker_calibration ci_cohorts return_trip_ratio snapshot_diff changed_fields interval_policy boost_window priority_coalesce point_precedence source_precedence
-anti_done_pairs semi_hubs topn_report recent_distinct set_union set_intersect set_except json_props keyword_find lecture_load meeting_groups eligibility_years stress_courses""".split()
+anti_done_pairs semi_hubs topn_report recent_distinct set_union set_intersect set_except json_props keyword_find lecture_load meeting_groups eligibility_years stress_courses
+spread_report matrix_difference checkpoint_errors text_pairs rough_counts cleaned_cells built_ids slope_model""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 
@@ -310,7 +349,7 @@ ORACLE_SQL = {
         SELECT building, arg_min(semester, k) AS first, arg_max(semester, k) AS last, count(DISTINCT semester) AS semesters, count(*) AS sections FROM r GROUP BY building""",
     "choice_percentile": """SELECT a.o_custkey AS bundle, a.o_orderkey AS choice, round(sum(CASE WHEN b.o_totalprice < a.o_totalprice THEN 1 WHEN b.o_totalprice = a.o_totalprice THEN 0.5 ELSE 0 END) / count(*), 6)::DOUBLE AS percentile
         FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey GROUP BY 1, 2""",
-    "random_baseline": "SELECT o_custkey AS bundle, count(*) AS n, round(avg(o_totalprice), 8) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median, max(o_totalprice) AS most, round(avg(CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END), 6) AS late_share FROM orders GROUP BY 1",
+    "random_baseline": "SELECT o_custkey AS bundle, count(*) AS n, round(avg(o_totalprice), 8) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median, max(o_totalprice) AS most, round(avg(CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END), 6) AS late_share, round(avg(greatest(0, o_totalprice - 200000)), 8) AS mean_late FROM orders GROUP BY 1",
     "bundle_quantiles": """SELECT count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.9), 4) AS q90,
         (SELECT round(avg(o_totalprice), 4) FROM (SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT (SELECT greatest(1, count(*) // 10) FROM orders))) AS top_decile FROM orders""",
     "ci95": """SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(avg(l_quantity) - 1.96::DOUBLE * stddev_samp(l_quantity) / sqrt(count(*)), 6) AS low, round(avg(l_quantity) + 1.96::DOUBLE * stddev_samp(l_quantity) / sqrt(count(*)), 6) AS high FROM lineitem GROUP BY 1""",
@@ -343,4 +382,16 @@ ORACLE_SQL = {
     "meeting_groups": f"WITH {C.sql_sections(60)} SELECT course, s, e, building, string_agg(DISTINCT day::VARCHAR, ',' ORDER BY day::VARCHAR) AS days FROM mt GROUP BY 1, 2, 3, 4",
     "eligibility_years": "SELECT p_partkey, (p_size % 7)::INTEGER AS year FROM part",
     "stress_courses": f"WITH {_CAT} SELECT course, count(*) AS enrolled FROM cat GROUP BY course ORDER BY enrolled DESC, course LIMIT 8",
+    "spread_report": f"WITH {_CAT}, {_SPREAD} SELECT course, row_number() OVER (ORDER BY n_buildings DESC, coalesce(max_minutes, -1) DESC, course) AS place FROM spread",
+    "matrix_difference": f"""WITH {C.SQL_TRAVEL}, d AS (SELECT t.minutes - r.minutes AS d FROM travel t JOIN travel r ON t.a = r.b AND t.b = r.a)
+        SELECT count(*) AS n, round(median(d), 6) AS median, round(median(abs(d)), 6) AS median_abs, round(quantile_cont(abs(d), 0.9), 6) AS p90_abs, round(min(d), 6) AS least, round(max(d), 6) AS most,
+               count(*) FILTER (abs(d) > 1) AS over0, count(*) FILTER (d > 1) AS above0, count(*) FILTER (d < -1) AS below0, count(*) FILTER (abs(d) > 2) AS over1, count(*) FILTER (d > 2) AS above1, count(*) FILTER (d < -2) AS below1 FROM d""",
+    "checkpoint_errors": "WITH e AS (SELECT l_quantity - (l_quantity + l_tax * 10 - 0.3::DOUBLE) AS e FROM lineitem WHERE l_linenumber <> 3) SELECT count(*) AS n, round(avg(e), 6) AS mean, round(avg(abs(e)), 6) AS mae, round(quantile_cont(abs(e), 0.95), 6) AS p95, round(max(abs(e)), 6) AS most FROM e",
+    "text_pairs": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'R' || p_partkey WHEN 1 THEN (p_partkey % 70) || '-1→' || (p_partkey % 90) WHEN 3 THEN 'GATE→' || (p_partkey % 90) END AS name,
+        CASE p_partkey % 4 WHEN 1 THEN (p_partkey % 70) || '-1' WHEN 2 THEN NULL ELSE 'GATE' END AS a, CASE WHEN p_partkey % 4 <> 2 THEN (p_partkey % 90)::VARCHAR END AS b FROM part""",
+    "rough_counts": "SELECT o_orderkey, (left((o_orderkey * o_custkey)::VARCHAR, 1) || repeat('0', length((o_orderkey * o_custkey)::VARCHAR) - 1))::BIGINT AS rough FROM orders",
+    "cleaned_cells": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN p_name || ' (part ' || p_size || ')' ELSE p_name END AS title, (CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 1.5 ELSE 0 END)::DOUBLE AS credits, p_name AS searched FROM part""",
+    "built_ids": "SELECT p_partkey, left(sha256(sha256(p_name) || sha256(p_brand)), 10) AS id FROM part",
+    "slope_model": """SELECT event_id, round(CASE WHEN event_id % 7 = 0 THEN m * (1 + 2.2 * greatest(g, 0) + 1.6 * greatest(-g, 0)) ELSE m / (exp(-2.5 * abs(g + 0.05)) / exp(-2.5 * 0.05)) END, 6)::DOUBLE AS seconds
+        FROM (SELECT event_id, ((event_id % 81 - 40) / 50)::DOUBLE AS g, (event_id % 90 + 10)::DOUBLE AS m FROM events)""",
 }

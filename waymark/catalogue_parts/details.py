@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 
 from waymark.functions import geo
 from waymark.functions import text as X
+from waymark.operators import catalog as K
 from waymark.operators import changes as D
 from waymark.operators import experiments as E
+from waymark.operators import reports as P
 from waymark.operators import requests as Q
 from waymark.operators import terrain as Z
 from waymark.catalogue_parts.schedules import SQL_COMBOS
@@ -22,42 +24,46 @@ def _part(spark, sf) -> DataFrame:
 
 
 def campus_filter(spark, sf):
-    """Sections stay where they have no campus at all or only the wanted one."""
-    li = C.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linenumber") > 1, F.col("l_returnflag"))).alias("campuses"))
-    return li.where((F.size("campuses") == 0) | (F.array_sort("campuses") == F.array(F.lit("N")))).select("l_orderkey")
+    li = C.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linenumber") > 1, F.ascii("l_returnflag"))).alias("campuses"))
+    return li.where(K.of_campus(F.col("campuses"), ord("N"))).select("l_orderkey")
 
 
 def usable_sections(spark, sf):
     mt = C.meetings(C.sections(spark, sf, 60))
-    g = mt.groupBy("ord").agg(F.min("building").alias("least"))
-    return g.select("ord", (F.col("ord") % 10 != 0).alias("timed"), ((F.col("ord") % 10 != 0) & (F.col("least") >= 0)).alias("usable"))
+    g = mt.groupBy("ord").agg(F.collect_list("building").alias("buildings"))
+    program, status = F.when(F.col("ord") % 10 == 0, "석사").when(F.col("ord") % 3 == 0, "학사"), F.when(F.col("ord") % 4 == 0, "설강").otherwise("")
+    return g.select("ord", K.timed(program, status, F.col("buildings")).alias("timed"), K.usable(program, status, F.col("buildings"), F.col("buildings")).alias("usable"))
 
 
 def request_filter(spark, sf):
     """Wanted courses in the request's order, without the excluded sections."""
     sec = C.sections(spark, sf, 60)
     wanted = spark.createDataFrame([(c, i) for i, c in enumerate((17, 3, 42))], "course long, pos int")
-    excluded = sec.where("ord % 7 = 0").select("ord")
-    return sec.join(F.broadcast(wanted), "course").join(excluded, "ord", "left_anti").select("pos", "course", "ord", "building")
+    return K.requested(sec, wanted, sec.where("ord % 7 = 0")).select("pos", "course", "ord", "building")
 
 
 def campus_box(spark, sf):
     b = C.buildings(spark, sf)
-    inside = F.col("lat").between(37.455, 37.47) & F.col("lon").between(126.955, 126.97)
-    return b.where(inside).select("building", "name")
+    return b.where(K.in_campus(F.col("lat"), F.col("lon"), (37.455, 37.47, 126.955, 126.97))).select("building", "name")
 
 
 def browse_order(spark, sf):
     rank = F.when(F.col("p_type") == "ECONOMY", 0).when(F.col("p_type") == "STANDARD", 1).otherwise(2)
-    return _part(spark, sf).where("p_size <= 10").withColumn("place", F.row_number().over(W.orderBy(rank, "p_name", "p_partkey"))).select("p_partkey", "place")
+    return K.browse(_part(spark, sf), F.lit(True), rank, "p_name", "p_partkey").select("p_partkey", F.col("place").cast("int").alias("place"))
 
 
 def overrides_applied(spark, sf):
     """Rooms by hand win over the catalogue's, unless the catalogue's meeting has moved since."""
     mt = C.meetings(C.sections(spark, sf, 60)).where("mpos = 0")
     own = mt.where("ord % 6 = 0").select("ord", (F.col("building") + 100).alias("mine"), (F.col("s") + F.when(F.col("ord") % 12 == 0, 5).otherwise(0)).alias("base"))
-    both = mt.join(own, "ord", "left")
-    return both.select("ord", F.when(F.col("base") == F.col("s"), F.col("mine")).otherwise(F.col("building")).cast("int").alias("building"), F.coalesce(F.col("base") != F.col("s"), F.lit(False)).alias("moved"))
+    return K.apply_overrides(mt, own).select("ord", F.col("building").cast("int").alias("building"), "moved")
+
+
+def picked_overrides(spark, sf):
+    """The same for picked sections only."""
+    mt = C.meetings(C.sections(spark, sf, 60)).where("mpos = 0")
+    own = mt.where("ord % 6 = 0").select("ord", (F.col("building") + 100).alias("mine"), F.col("s").alias("base"))
+    return K.apply_overrides(mt, own, mt.where("ord % 5 = 0")).select("ord", F.col("building").cast("int").alias("building"))
 
 
 def sync_due(spark, sf):
@@ -70,50 +76,50 @@ def pairwise_conflict(spark, sf):
     """Whether two neighbouring sections of a catalogue overlap, from their nested meetings."""
     mt = C.meetings(C.sections(spark, sf, 60)).groupBy("ord").agg(F.collect_list(F.struct("day", "s", "e")).alias("ms"))
     nxt = mt.select((F.col("ord") - 1).alias("ord"), F.col("ms").alias("other"))
-    hit = F.exists("ms", lambda a: F.exists("other", lambda b: (a["day"] == b["day"]) & (a["s"] < b["e"]) & (b["s"] < a["e"])))
-    return mt.join(nxt, "ord").select("ord", hit.alias("conflict"))
+    return mt.join(nxt, "ord").select("ord", K.meetings_overlap(F.col("ms"), F.col("other")).alias("conflict"))
 
 
 def meta_defaults(spark, sf):
-    o, c = C.table(spark, sf, "orders"), C.table(spark, sf, "customer").where("c_custkey % 3 <> 0")
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.coalesce("c_mktsegment", F.lit("none")).alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    o, c = C.table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), C.table(spark, sf, "customer").where("c_custkey % 3 <> 0")
+    return K.with_meta(o, c, ["c_custkey"], {"c_mktsegment": "none"}).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def list_merge(spark, sf):
     """Earlier lists win; later ones only fill what is missing."""
     p = _part(spark, sf).select((F.col("p_partkey") % 500).alias("id"), "p_partkey", F.when(F.col("p_partkey") % 4 != 0, F.col("p_name")).alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("lat"))
-    g = p.groupBy("id").agg(F.min_by("name", F.when(F.col("name").isNotNull(), F.col("p_partkey"))).alias("name"), F.min_by("lat", F.when(F.col("lat").isNotNull(), F.col("p_partkey"))).alias("lat"), F.count(F.lit(1)).alias("sources"))
-    return g
+    return K.merged_lists(p, "id", "p_partkey", ["name", "lat"])
 
 
 def name_resolution(spark, sf):
     """A name stands for its course only where it is the one course of that name."""
-    g = _part(spark, sf).groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("id"))
-    return g.select("p_name", F.when(F.col("n") == 1, F.col("id")).alias("id"), (F.col("n") > 1).alias("ambiguous"))
+    return K.unique_names(_part(spark, sf).select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"))).withColumnRenamed("name", "p_name")
+
+
+def course_lookup(spark, sf):
+    """Names and ids that are asked for: by id, by a name that one course has, or not at all."""
+    courses = _part(spark, sf).select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(" (lab)"))).otherwise(F.concat("p_name", F.col("p_partkey").cast("string"))).alias("name"))
+    asked = _part(spark, sf).select(F.explode(F.array(F.concat(F.lit("P"), F.col("p_partkey") * 2), "p_name", F.concat("p_name", F.col("p_partkey").cast("string")))).alias("asked"))
+    return K.resolve_names(courses, asked)
 
 
 def route_stats(spark, sf):
-    li = C.table(spark, sf, "lineitem")
-    g = li.groupBy((F.col("l_suppkey") % 20).alias("route")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_samp("l_quantity"), 6).alias("sd"), F.min(F.struct("l_orderkey", "l_linenumber")).alias("first"))
-    return g.select("route", "n", "mean", "sd", F.row_number().over(W.orderBy("first", "route")).alias("seen"))
+    li = C.table(spark, sf, "lineitem").withColumn("route", F.col("l_suppkey") % 20)
+    return P.route_stats(li, "route", "l_quantity", ["l_orderkey", "l_linenumber"]).select("route", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "seen")
 
 
 def merged_places(spark, sf):
     """Heights of points that share a place to the centimetre, averaged."""
     li = C.table(spark, sf, "lineitem").select((F.col("l_partkey") % 40 / 100).alias("x"), (F.col("l_suppkey") % 30 / 100).alias("y"), F.col("l_quantity").alias("z"))
-    return li.groupBy(F.round("x", 2).alias("x"), F.round("y", 2).alias("y")).agg(F.round(F.avg("z"), 6).alias("z"))
+    return P.merged_points(li).withColumn("z", F.round("z", 6))
 
 
 def surface_totals(spark, sf):
-    li = C.table(spark, sf, "lineitem")
-    total = li.agg(F.sum("l_quantity").alias("all"))
-    g = li.groupBy("l_shipmode" if "l_shipmode" in li.columns else "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("length"))
-    return g.crossJoin(F.broadcast(total)).select(F.col(g.columns[0]).alias("surface"), "n", F.round(F.col("length") / F.col("all"), 6).alias("share"))
+    return P.share_by_kind(C.table(spark, sf, "lineitem"), "l_linestatus", "l_quantity").select(F.col("l_linestatus").alias("surface"), "n", F.round("share", 6).alias("share"))
 
 
 def best_item(spark, sf):
-    rank = F.struct((F.col("p_size") % 2 == 0).cast("int").alias("placed"), (F.col("p_type") == "ECONOMY").cast("int").alias("kind"), (-F.length("p_name")).alias("short"), (-F.col("p_partkey")).alias("first"))
-    return _part(spark, sf).groupBy("p_brand").agg(F.max_by("p_partkey", rank).alias("p_partkey"))
+    rank = [(F.col("p_size") % 2 == 0).cast("int"), (F.col("p_type") == "ECONOMY").cast("int"), -F.length("p_name"), -F.col("p_partkey")]
+    return P.best_per_key(_part(spark, sf), "p_brand", rank, "p_partkey")
 
 
 def entrance_numbers(spark, sf):
@@ -122,19 +128,16 @@ def entrance_numbers(spark, sf):
 
 
 def week_window(spark, sf):
-    mt = C.meetings(C.sections(spark, sf, 60))
-    g = mt.groupBy("course").agg(F.array_join(F.array_sort(F.collect_set("day")), ",").alias("days"), F.floor(F.min("s") / 60).alias("lo"), F.ceil(F.max("e") / 60).alias("hi"))
-    return g.select("course", "days", F.least("lo", F.greatest(F.lit(0), F.col("hi") - 4)).alias("from_h"), F.greatest("hi", F.least(F.lit(24), F.col("lo") + 4)).alias("to_h"))
+    out = K.week_window(C.meetings(C.sections(spark, sf, 60)), "course")
+    return out.withColumn("days", F.array_join("days", ","))
 
 
 def arc_length(spark, sf):
-    li = C.table(spark, sf, "lineitem")
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(W.unboundedPreceding, 0)
-    return li.select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(w).alias("s"))
+    return P.arc_length(C.table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity").select("l_orderkey", "l_linenumber", "s")
 
 
 def building_set(spark, sf):
-    return C.meetings(C.sections(spark, sf, 60)).where("building >= 0").select("building").distinct()
+    return K.building_set(C.meetings(C.sections(spark, sf, 60)))
 
 
 def first_snapshot(spark, sf):
@@ -151,9 +154,8 @@ def local_projection(spark, sf):
 def semester_sequence(spark, sf):
     """Regular semesters from the first order's year up to 1997-1, in order."""
     years = C.table(spark, sf, "orders").agg(F.min(F.year("o_orderdate")).alias("y0"))
-    labels = years.select(F.explode(F.sequence("y0", F.lit(1997))).alias("y")).select(F.explode(F.array(F.concat(F.col("y").cast("string"), F.lit("-1")), F.concat(F.col("y").cast("string"), F.lit("-2")))).alias("label"))
-    key = X.semester_key(F.col("label"))
-    return labels.select("label", key.cast("int").alias("sort_key")).where(key <= 19971)
+    labels = years.select(F.explode(X.semester_list(F.col("y0"), F.lit("1997-1"))).alias("label"))
+    return labels.select("label", X.semester_key(F.col("label")).cast("int").alias("sort_key"))
 
 
 def clock_texts(spark, sf):
@@ -178,17 +180,13 @@ def date_ranges(spark, sf):
     o = C.table(spark, sf, "orders")
     d = F.date_format("o_orderdate", "yyyy-MM-dd")
     text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(d, F.lit(" ~ "), F.date_format(F.date_add("o_orderdate", 4), "yyyy-MM-dd"))).when(F.col("o_orderkey") % 3 == 1, d).otherwise(F.lit("tba"))
-    found = F.regexp_extract_all(text, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1))
-    return o.select("o_orderkey", F.get(found, F.lit(0)).try_cast("date").alias("opens"), F.coalesce(F.get(found, F.lit(1)), F.get(found, F.lit(0))).try_cast("date").alias("closes"))
+    return o.select("o_orderkey", X.date_range(text).alias("r")).select("o_orderkey", "r.opens", "r.closes")
 
 
 def merged_marks(spark, sf):
     """Ranges [a, b) of each order merged where they touch or overlap."""
-    li = C.table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 60).alias("a"), (F.col("l_partkey") % 60 + F.col("l_linenumber")).alias("b"))
-    w = W.partitionBy("l_orderkey").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
-    each = li.withColumn("fresh", F.coalesce((F.col("a") > F.max("b").over(w)).cast("int"), F.lit(1)))
-    each = each.withColumn("g", F.sum("fresh").over(W.partitionBy("l_orderkey").orderBy("a", "b").rowsBetween(W.unboundedPreceding, 0)))
-    return each.groupBy("l_orderkey", "g").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("g")
+    li = C.table(spark, sf, "lineitem").select("l_orderkey", F.struct((F.col("l_partkey") % 60).alias("a"), (F.col("l_partkey") % 60 + F.col("l_linenumber")).alias("b")).alias("r"))
+    return li.groupBy("l_orderkey").agg(F.collect_list("r").alias("rs")).select("l_orderkey", F.explode(X.merged_ranges(F.col("rs"))).alias("r")).select("l_orderkey", "r.a", "r.b")
 
 
 def short_names(spark, sf):
@@ -198,21 +196,19 @@ def short_names(spark, sf):
 
 
 def meeting_signatures(spark, sf):
-    mt = C.meetings(C.sections(spark, sf, 60))
-    sig = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "day", "s", "e"))), ";")
-    return mt.groupBy("ord").agg(sig.alias("sig"))
+    mt = C.meetings(C.sections(spark, sf, 60)).groupBy("ord").agg(F.collect_list(F.struct("day", "s", "e")).alias("ms"))
+    return mt.select("ord", K.meeting_signature(F.col("ms")).alias("sig"))
 
 
 def building_lookup(spark, sf):
     """Of each key's candidates the most preferred kind, then the shortest name."""
     pref = F.when(F.col("p_type") == "PROMO", 0).when(F.col("p_type") == "STANDARD", 1).otherwise(2)
-    w = W.partitionBy("p_brand").orderBy(pref, F.length("p_name"), "p_partkey")
-    return _part(spark, sf).withColumn("place", F.row_number().over(w)).where("place = 1").select("p_brand", "p_partkey")
+    return K.best_lookup(_part(spark, sf), "p_brand", pref, "p_name", "p_partkey").select("p_brand", "p_partkey")
 
 
 def personal_timetables(spark, sf):
-    ev = C.table(spark, sf, "events").select(F.trim(F.col("user_id").cast("string")).alias("person"), (F.col("event_id") % 40).alias("course"))
-    return ev.groupBy("person").agg(F.array_join(F.array_sort(F.collect_set("course")), ",").alias("courses"))
+    ev = C.table(spark, sf, "events").select("user_id", (F.col("event_id") % 40).alias("course"))
+    return K.personal_timetables(ev, "user_id", None, "course", "2026-2").select("person", F.array_join(F.array_sort(F.transform("courses", lambda c: c.cast("int"))), ",").alias("courses"))
 
 
 def newest_answers(spark, sf):
@@ -234,15 +230,11 @@ def candidate_sections(spark, sf):
 
 def suggested_routes(spark, sf):
     """The ten pairs between busy buildings with the most minutes added over the way back."""
-    t = C.travel(spark, sf)
-    load = C.meetings(C.sections(spark, sf, 60)).where("building >= 0").groupBy("building").agg(F.countDistinct("ord").alias("n"))
-    busy = load.where(F.col("n") > 0).select(F.col("building").cast("int").alias("hub"))
-    back = t.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("minutes").alias("back"))
-    rows = t.join(busy, F.col("a") == F.col("hub"), "left_semi").join(busy, F.col("b") == F.col("hub"), "left_semi").join(back, ["a", "b"])
-    return rows.select("a", "b", (F.col("minutes") - F.col("back")).alias("added")).orderBy(F.desc("added"), "a", "b").limit(10)
+    busy = K.lecture_load(C.meetings(C.sections(spark, sf, 60)).where("building >= 0").groupBy("ord").agg(F.collect_set("building").alias("buildings"))).select(F.col("building").cast("int").alias("hub"))
+    return P.extremes(K.return_trips(K.between_hubs(C.travel(spark, sf), busy)), F.col("added"), 10, "a", "b").select("a", "b", "added")
 
 
-NAMES = """campus_filter usable_sections request_filter campus_box browse_order overrides_applied sync_due pairwise_conflict meta_defaults list_merge name_resolution route_stats merged_places surface_totals best_item entrance_numbers
+NAMES = """campus_filter usable_sections request_filter campus_box browse_order overrides_applied picked_overrides sync_due pairwise_conflict meta_defaults list_merge name_resolution course_lookup route_stats merged_places surface_totals best_item entrance_numbers
 week_window arc_length building_set first_snapshot local_projection semester_sequence clock_texts floor_labels label_numbers date_ranges merged_marks short_names meeting_signatures building_lookup personal_timetables newest_answers
 capped_combos candidate_sections suggested_routes""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
@@ -253,8 +245,14 @@ ORACLE_SQL = {
     "usable_sections": f"WITH {C.sql_sections(60)} SELECT ord, ord % 10 <> 0 AS timed, ord % 10 <> 0 AND building >= 0 AS usable FROM sec",
     "request_filter": f"WITH {C.sql_sections(60)} SELECT (CASE course WHEN 17 THEN 0 WHEN 3 THEN 1 ELSE 2 END)::INTEGER AS pos, course, ord, building FROM sec WHERE course IN (17, 3, 42) AND ord % 7 <> 0",
     "campus_box": f"WITH {C.SQL_TRAVEL} SELECT building, name FROM bld WHERE lat BETWEEN 37.455::DOUBLE AND 37.47::DOUBLE AND lon BETWEEN 126.955::DOUBLE AND 126.97::DOUBLE",
-    "browse_order": "SELECT p_partkey, row_number() OVER (ORDER BY CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END, p_name, p_partkey)::INTEGER AS place FROM part WHERE p_size <= 10",
+    "browse_order": "SELECT p_partkey, row_number() OVER (ORDER BY CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END, p_name, p_partkey)::INTEGER AS place FROM part",
     "overrides_applied": f"WITH {C.sql_sections(60)} SELECT ord, (CASE WHEN ord % 6 = 0 AND ord % 12 <> 0 THEN building + 100 ELSE building END)::INTEGER AS building, ord % 12 = 0 AS moved FROM sec",
+    "picked_overrides": f"WITH {C.sql_sections(60)} SELECT ord, (CASE WHEN ord % 6 = 0 THEN building + 100 ELSE building END)::INTEGER AS building FROM sec WHERE ord % 5 = 0",
+    "course_lookup": """WITH c AS (SELECT 'P' || p_partkey AS id, p_name || CASE WHEN p_partkey % 5 = 0 THEN ' (lab)' ELSE p_partkey::VARCHAR END AS name FROM part),
+        n AS (SELECT name, id FROM c UNION SELECT regexp_replace(name, ' \\(lab\\)$', ''), id FROM c), g AS (SELECT name, count(*) AS n, min(id) AS id FROM n GROUP BY name),
+        a AS (SELECT DISTINCT unnest(['P' || (p_partkey * 2), p_name, p_name || p_partkey]) AS asked FROM part)
+        SELECT asked, coalesce(c.id, CASE WHEN n = 1 THEN g.id END) AS id, CASE WHEN coalesce(c.id, CASE WHEN n = 1 THEN g.id END) IS NULL THEN CASE WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END END AS problem
+        FROM a LEFT JOIN c ON c.id = asked LEFT JOIN g ON g.name = asked""",
     "sync_due": "SELECT o_orderkey, o_orderkey % 17 = 0 OR (o_orderkey % 9 + 2) * 60 + 45 >= 330 AS due FROM orders",
     "pairwise_conflict": f"WITH {C.sql_sections(60)} SELECT x.ord, x.ord IN (SELECT a.ord FROM mt a JOIN mt b ON b.ord = a.ord + 1 AND a.day = b.day AND a.s < b.e AND b.s < a.e) AS conflict FROM sec x WHERE x.ord + 1 IN (SELECT ord FROM sec)",
     "meta_defaults": "SELECT coalesce(c_mktsegment, 'none') AS segment, count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey GROUP BY 1",

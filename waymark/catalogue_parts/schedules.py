@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
+from waymark.operators import catalog as K
 from waymark.operators import experiments as X
 from waymark.operators import requests as Q
 from waymark.operators import schedule as S
@@ -197,12 +198,7 @@ def haversine_estimate(spark, sf):
 
 
 def dense_matrix(spark, sf):
-    grid = C.travel(spark, sf)
-    ids = C.buildings(spark, sf).select(F.col("building").alias("a"))
-    cells = ids.crossJoin(ids.select(F.col("a").alias("b"))).join(grid, ["a", "b"], "left")
-    cell = F.coalesce(F.when(F.col("a") == F.col("b"), F.lit("0")), F.col("minutes").cast("int").cast("string"), F.lit("null"))
-    rows = cells.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", cell.alias("v")))).alias("r"))
-    return rows.select("a", F.concat(F.lit("["), F.array_join(F.col("r.v"), ","), F.lit("]")).alias("row"))
+    return K.dense_rows(C.buildings(spark, sf).select(F.col("building").alias("id")), C.travel(spark, sf))
 
 
 NAMES = """conflict_pairs conflict_count mrv_order feasible_combos topk_schedules topk_unknown_rooms topk_all_weights topk_with_rules topk_by_joins paging search_numbers daily_legs combo_count_product count_feasible_dp count_with_rules

@@ -120,3 +120,89 @@ def floor_number(label: Column) -> Column:
 def building_numbers(label: Column) -> Column:
     """Distinct building numbers of a map label, in order: '사범대학10-1동' gives ['10-1']."""
     return F.array_distinct(F.regexp_extract_all(label, F.lit(r"(\d+(?:-\d+)?[A-Z]?)동"), F.lit(1)))
+
+
+def semester_list(first_year: Column, current: Column, terms: tuple[str, ...] = ("1", "2")) -> Column:
+    """array<string>: regular semesters 'year-term' from a year's first up to the current one, in order."""
+    years = F.sequence(first_year, F.substring(current, 1, 4).cast("int"))
+    every = F.flatten(F.transform(years, lambda y: F.transform(F.array(*map(F.lit, terms)), lambda t: F.concat(y.cast("string"), F.lit("-"), t))))
+    return F.filter(every, lambda label: semester_key(label) <= semester_key(current))
+
+
+def date_range(text: Column) -> Column:
+    """struct<opens, closes>: the one or two ISO dates of a text; one date opens and closes; other texts have none."""
+    found = F.regexp_extract_all(text, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1))
+    opens, closes = F.get(found, F.lit(0)), F.coalesce(F.get(found, F.lit(1)), F.get(found, F.lit(0)))
+    return F.struct(opens.try_cast("date").alias("opens"), closes.try_cast("date").alias("closes"))
+
+
+def year_of(text: Column) -> Column:
+    """'3학년' is 3: the digit that a text begins with, else null."""
+    return F.nullif(F.regexp_extract(text, r"^\s*(\d)", 1), F.lit("")).try_cast("int")
+
+
+def merged_ranges(ranges: Column) -> Column:
+    """array<struct<a, b>> of [a, b): sorted, with those that touch or overlap made one; empty ones go."""
+    rows = F.array_sort(F.filter(ranges, lambda r: r["a"] < r["b"]))
+    last = lambda done: F.element_at(done, -1)
+    joined = lambda done, r: F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last(done)["a"].alias("a"), F.greatest(last(done)["b"], r["b"]).alias("b"))))
+    return F.when(F.size(rows) == 0, rows).otherwise(F.aggregate(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1)) - 1), F.slice(rows, F.lit(1), F.lit(1)), lambda done, r: F.when(r["a"] <= last(done)["b"], joined(done, r)).otherwise(F.concat(done, F.array(r)))))
+
+
+def split_marks(text: Column, ranges: Column) -> Column:
+    """array<struct<part, marked>>: a text cut at merged ranges; parts without a character go."""
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long"), F.length(text).cast("long")), F.transform(ranges, lambda r: r["a"].cast("long")), F.transform(ranges, lambda r: r["b"].cast("long")))))
+    parts = F.zip_with(F.slice(cuts, F.lit(1), F.greatest(F.size(cuts), F.lit(1)) - 1), F.slice(cuts, F.lit(2), F.greatest(F.size(cuts), F.lit(1)) - 1), lambda a, b: F.struct(F.substring(text, (a + 1).cast("int"), (b - a).cast("int")).alias("part"), F.exists(ranges, lambda r: (r["a"] <= a) & (b <= r["b"])).alias("marked")))
+    return F.filter(parts, lambda p: p["part"] != "")
+
+
+def parse_pair(text: Column) -> Column:
+    """struct<name, a, b> of 'name:a-b' or 'name:a>b' (the arrow where a number has a dash of its own); null for others.
+
+    Without a name it is 'a→b'.
+    """
+    pair = F.element_at(F.split(text, ":"), -1)
+    name = F.when(text.contains(":"), F.substring(text, F.lit(1), F.length(text) - F.length(pair) - 1)).otherwise("")
+    sides = F.when(pair.contains(">"), F.split(pair, ">")).when(F.length(pair) - F.length(F.replace(pair, F.lit("-"), F.lit(""))) == 1, F.split(pair, "-"))
+    a, b = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+    return F.when(F.size(sides) == 2, F.struct(F.when(name == "", F.concat(a, F.lit("→"), b)).otherwise(name).alias("name"), F.trim(a).alias("a"), F.trim(b).alias("b")))
+
+
+def name_before_colon(name: Column) -> Column:
+    """What a course is searched by: its name before a colon, without its closing parenthesis."""
+    return F.trim(F.substring_index(short_name(name), ":", 1))
+
+
+def titled(name: Column, subtitle: Column) -> Column:
+    """'name (subtitle)'; blank cells are empty."""
+    own, sub = clean_cell(name), clean_cell(subtitle)
+    return F.when(sub == "", own).otherwise(F.concat(own, F.lit(" ("), sub, F.lit(")")))
+
+
+def credits(value: Column) -> Column:
+    """A number of credits; 0 for cells that are none."""
+    return F.coalesce(clean_cell(value).try_cast("double"), F.lit(0.0))
+
+
+def rough_count(n: Column) -> Column:
+    """A count rounded down to its first digit: 4567 is 4000."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(n, F.lit(1))) + 1e-12))
+    return (F.floor(n / unit) * unit).cast("long")
+
+
+def map_key(label: Column) -> Column:
+    """Orders places of a map: numbered buildings by number, then by what follows; other names after them by code point."""
+    number = F.regexp_extract(label, r"^(\d+)", 1).try_cast("long")
+    return F.struct(number.isNull().alias("kind"), F.coalesce(number, F.lit(0)).alias("n"), F.regexp_replace(label, r"^\d+", "").alias("rest"))
+
+
+def padded_key(label: Column, width: int = 8) -> Column:
+    """A text whose order is natural anywhere in it: every run of digits is padded with zeros."""
+    zeros = "0" * width
+    padded = F.regexp_replace(label, r"(\d+)", zeros + "$1")
+    return F.regexp_replace(padded, rf"0+(?=\d{{{width}}}(?!\d))", "")
+
+
+def content_id(parts: Column, digits: int = 10) -> Column:
+    """A build's id: the first hex digits of a hash of its parts' hashes, in order (array of binary)."""
+    return F.substring(F.sha2(F.array_join(F.transform(parts, lambda p: F.sha2(p, 256)), "").cast("binary"), 256), 1, digits)
