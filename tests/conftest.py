@@ -13,7 +13,8 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", "/tmp/waymark-warehouse").getOrCreate()
+        .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", "/tmp/waymark-warehouse").config("spark.checkpoint.dir", "file:///tmp/waymark-tests")
+        .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -3,6 +3,7 @@ import zipfile
 
 import pytest
 
+from waymark.operators import raster
 from waymark.sources import files, sinks, xlsx
 
 
@@ -64,3 +65,31 @@ def test_twins_and_documents(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "o/csv")).count() == 2
     features = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "o/geojson")).collect()]
     assert [f["properties"]["id"] for f in features] == ["a"]
+
+
+def test_section_meta(spark, tmp_path):
+    head = ["교과목번호", "강좌번호", "학년", "개설대학", "개설학과", "수강신청인원(현재)", "비고"]
+    _workbook(tmp_path / "m.xlsx", [["표"], head, ["C1", "1", "3학년", "공과대학", "nan", "1,234명", "® 공대"], ["C1", "001", "2학년", "공과대학", "기계공학부", "", ""], ["", "1"], ["C2", "L1", "", "", "", "7"]])
+    got = {(r.course, r.section): (r.year, r.college, r.dept, r.enrolled, r.remark) for r in xlsx.section_meta(xlsx.read_xlsx(spark, str(tmp_path))).collect()}
+    assert got == {("C1", "001"): ("2학년", "공과대학", "기계공학부", 0, ""), ("C2", "L1"): ("", "", "", 7, "")}
+    _workbook(tmp_path / "m.xlsx", [head[:4], ["C1", "1", "", "공과대학"]])
+    assert [(r.dept, r.enrolled) for r in xlsx.section_meta(xlsx.read_xlsx(spark, str(tmp_path))).collect()] == [("공과대학", 0)]
+
+
+def test_tracks_need_their_columns(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("walk,walker,device,start,t,lat,lon,alt,accuracy,speed\n1,a,d,2026-01-01T00:00:00Z,0,1,2,3,4,5\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.tracks_csv(spark, str(tmp_path)).collect()
+
+
+def test_raster_windows_and_finest_layer(spark):
+    layers = spark.createDataFrame([("fine", 0.0, 0.0, 1.0), ("coarse", -5.0, -5.0, 10.0), ("far", 900.0, 900.0, 1.0)], "layer string, x0 double, y0 double, size double")
+    fine = [("fine", c, r, float("nan") if (c, r) == (2, 2) else -9999.0 if (c, r) == (0, 0) else c + 10.0 * r) for c in range(6) for r in range(6)]
+    coarse = [("coarse", c, r, 100.0 * c + r) for c in range(4) for r in range(4)]
+    cells = spark.createDataFrame([*fine, *coarse, ("far", 0, 0, 1.0)], "layer string, col long, row long, z double")
+    kept = raster.raster_window(cells, layers, (1.0, 1.0, 3.0, 3.0), margin=1)
+    rows = {(r.layer, r.col, r.row): r.z for r in kept.collect()}
+    assert {k for k in rows if k[0] == "fine"} == {("fine", c, r) for c in range(5) for r in range(5)} and rows["fine", 2, 2] is None and rows["fine", 0, 0] is None and not any(k[0] == "far" for k in rows)
+    points = spark.createDataFrame([(1, 3.5, 3.5), (2, 1.5, 1.5), (3, 20.0, 20.0), (4, 500.0, 1.0)], "point long, x double, y double")
+    got = {r.point: (r.layer, r.z) for r in raster.finest_heights(points, cells.where("z > -100 AND NOT isnan(z)"), layers).collect()}
+    assert got == {1: ("fine", 38.5), 2: ("coarse", pytest.approx(65.65)), 3: ("coarse", 252.5), 4: (None, None)}

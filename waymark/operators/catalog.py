@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from waymark.plans.store import Store
+
 #: The campus's box in degrees (south, north, west, east), programs and states of sections that can be taken.
 CAMPUS_BOX = (37.40, 37.52, 126.90, 127.02)
 OPEN_PROGRAMS, OPEN_STATES = ("", "학사"), ("", "설강")
@@ -75,20 +77,23 @@ def apply_overrides(meetings: DataFrame, overrides: DataFrame, picks: DataFrame
     return both.withColumn("moved", F.coalesce(~held, F.lit(False))).withColumn("building", F.when(held, F.col("mine")).otherwise(F.col("building"))).drop("mine", "base")
 
 
-def browse(courses: DataFrame, keep: Column, rank: Column, name: str, key: str, parts: int = 64) -> DataFrame:
+def browse(courses: DataFrame, keep: Column, rank: Column, name: str, key: str) -> DataFrame:
     """Courses of a browse list with `place`: by class rank, then collated name, then id."""
-    return ranked(courses.where(keep), [rank, F.collate(F.col(name), "ko") if name else F.lit(0), F.col(key)], "place", parts)
+    return ranked(courses.where(keep), [rank, F.collate(F.col(name), "ko"), F.col(key)], "place")
 
 
-def ranked(rows: DataFrame, order: list[Column], place: str, parts: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, order: list[Column], place: str, parts: int | None = None) -> DataFrame:
     """Rows with their place (from 1) in a total order, without gathering them in one task: dealt by ranges of the order,
-    numbered within each, and moved up by the numbers of the ranges before."""
-    keyed = rows.select("*", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("_order"))
-    dealt = keyed.repartitionByRange(parts, "_order").select("*", F.spark_partition_id().alias("_part"))
-    within = dealt.withColumn("_i", F.row_number().over(W.partitionBy("_part").orderBy("_order")))
-    sizes = within.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return within.join(before, "_part").withColumn(place, F.col("_before") + F.col("_i")).drop("_order", "_part", "_i", "_before")
+    numbered within each, and moved up by the numbers of the ranges before. The dealt rows are written, as ranges come
+    from a sample and may differ when they are dealt again."""
+    spark = rows.sparkSession
+    keyed = rows.select(F.struct(*rows.columns).alias("row"), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("order"))
+    dealt = keyed.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "order").withColumn("part", F.spark_partition_id())
+    dealt = Store(spark, "ranked").put(dealt, "dealt")
+    within = dealt.withColumn("i", F.row_number().over(W.partitionBy("part").orderBy("order")))
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    return within.join(before, "part").select(*[F.col(f"row.`{c}`").alias(c) for c in rows.columns], (F.col("before") + F.col("i")).alias(place))
 
 
 def meetings_overlap(a: Column, b: Column) -> Column:

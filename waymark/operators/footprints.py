@@ -213,7 +213,8 @@ def assembled_rings(ways: DataFrame) -> DataFrame:
             if ring[0] == ring[-1]:
                 used |= mine
                 rings.append(ring)
-        return pd.DataFrame({"relation": [pdf["relation"].iloc[0]] * len(rings), "ring": rings})
+        own = pd.Series([pdf["relation"].iloc[0]] * len(rings), dtype=pdf["relation"].dtype)
+        return pd.DataFrame({"relation": own, "ring": pd.Series(rings, dtype=object)})
 
     return ways.groupBy("relation").applyInPandas(string, f"relation {ways.schema['relation'].dataType.simpleString()}, ring {ways.schema['nodes'].dataType.simpleString()}")
 

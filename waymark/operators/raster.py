@@ -43,3 +43,33 @@ def containing_footprint(points: DataFrame, footprints: DataFrame, cell: float)
 def weighted_level(samples: DataFrame, key: str) -> DataFrame:
     """Length-weighted mean, least, greatest and span of z around each footprint."""
     return samples.groupBy(key).agg((F.sum(F.col("z") * F.col("w")) / F.sum("w")).alias("mean"), F.min("z").alias("low"), F.max("z").alias("high"), (F.max("z") - F.min("z")).alias("span"))
+
+
+#: Heights beyond these are no heights, whatever a raster says.
+LOWEST, HIGHEST = -100.0, 3000.0
+
+
+def raster_window(cells: DataFrame, layers: DataFrame, box: tuple[float, float, float, float], margin: int = 2) -> DataFrame:
+    """Cells (layer, col, row, z) within a box (west, south, east, north) and `margin` cells around it; z is null where it is
+    no height. layers: layer, x0, y0 (the middle of cell 0, 0), size, in the box's units, rows running north.
+
+    Sheets that don't meet the box have no cells. Tables of cells that are partitioned by layer are pruned by it.
+    """
+    west, south, east, north = box
+    inside = layers.select("layer", *[f((F.lit(v) - F.col(o)) / F.col("size") + d * margin).alias(n) for n, v, o, f, d in (("c0", west, "x0", F.floor, -1), ("c1", east, "x0", F.ceil, 1), ("r0", south, "y0", F.floor, -1), ("r1", north, "y0", F.ceil, 1))])
+    kept = cells.join(inside, "layer").where("col BETWEEN c0 AND c1 AND row BETWEEN r0 AND r1")
+    height = F.when((F.col("z") >= LOWEST) & (F.col("z") <= HIGHEST) & ~F.isnan("z"), F.col("z"))
+    return kept.select("layer", "col", "row", height.alias("z"))
+
+
+def finest_heights(points: DataFrame, cells: DataFrame, layers: DataFrame) -> DataFrame:
+    """(point, layer, z): each point's height between the four cells around it, in the finest layer that has all four; where
+    none has, the nearest cell's of the finest layer that has it; null without any."""
+    at = points.crossJoin(F.broadcast(layers)).select("point", "layer", "size", ((F.col("x") - F.col("x0")) / F.col("size")).alias("u"), ((F.col("y") - F.col("y0")) / F.col("size")).alias("v"))
+    corners = F.array(*[F.struct((F.floor("u") + i).alias("col"), (F.floor("v") + j).alias("row")) for i in (0, 1) for j in (0, 1)])
+    near = at.withColumn("c", F.explode(corners)).select("point", "layer", "size", "u", "v", "c.col", "c.row").join(cells, ["layer", "col", "row"])
+    w = (1 - F.abs(F.col("u") - F.col("col"))) * (1 - F.abs(F.col("v") - F.col("row")))
+    part = near.where("z IS NOT NULL").groupBy("point", "layer", "size").agg(F.sum(w).alias("w"), F.sum(w * F.col("z")).alias("wz"), F.max_by("z", w).alias("nearest"))
+    whole = F.col("w") >= 1 - 1e-9
+    best = part.groupBy("point").agg(F.min(F.struct((~whole).alias("partial"), "size", "layer", F.when(whole, F.col("wz")).otherwise(F.col("nearest")).alias("z"))).alias("b"))
+    return points.select("point").join(best.select("point", "b.layer", "b.z"), "point", "left")

@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from waymark.functions import hangul as H
+from waymark.operators.catalog import ranked
 
 HEAD, WORD = "\u0001", "\u0002"
 MARK = f"[{HEAD}{WORD}]?"
@@ -58,7 +58,7 @@ def build_index(courses: DataFrame) -> DataFrame:
     # A search ranks one campus's courses; their order is a property of the index.
     out = out.withColumn("prof_keys", F.transform("profs", lambda p: F.lower(F.regexp_replace(p, r"\s", ""))))
     out = out.withColumn("mask", H.mask_udf(F.regexp_replace("name_key", f"[{HEAD}{WORD}]", "")))
-    return out.withColumn("place", F.row_number().over(W.orderBy(bare, "id")))
+    return ranked(out, [bare, F.col("id")], "place")
 
 
 def _class(ch: str) -> str:
@@ -125,50 +125,43 @@ def whole_match(key: Column, p: Pattern) -> Column:
     return F.least(*options) if len(options) > 1 else options[0]
 
 
+#: What a place is worth at a word's start, more at the head, directly behind the last one, behind a gap,
+#: and how much less the first place is worth for each character before it.
+GAP_START, GAP_HEAD, GAP_RUN, GAP_JUMP, GAP_LATE = 3.0, 2.0, 4.0, -1.0, 0.05
+
+
+def _behind(values: np.ndarray, by: int) -> np.ndarray:
+    """Each place's value `by` places before it; none (minus infinity) before the first."""
+    return np.concatenate([np.full(min(by, len(values)), -np.inf), values[: max(0, len(values) - by)]])
+
+
 def gapped_alignment(query: list[re.Pattern[str]], key: str) -> tuple[list[int], list[bool], list[bool]] | None:
     """Places of the query's characters in a key in order, preferring word starts and runs; None if they aren't in it.
 
-    The value of a place is 3 at a word's start (2 more at the head), 4 for following directly on the last, and -1 for a
-    gap; of equal values the earlier place stands.
+    One pass over all places for each character of the query: a place follows directly on the one before it, or jumps
+    from the best place further back, which a running maximum has; of equal values the direct one, then the earlier.
     """
-    chars, word, head = [], [], []
-    for c in key:
-        if c in (HEAD, WORD):
-            word.append(len(chars))
-            head += [len(chars)] if c == HEAD else []
-        else:
-            chars.append(c)
-    n = len(chars)
-    starts = np.zeros(n)
-    starts[word] = 3
-    first = starts.copy()
-    first[head] += 2
-    value = np.array([bool(query[0].fullmatch(c)) for c in chars])
-    best = np.where(value, first - 0.05 * np.arange(n), -np.inf)
-    back: list[np.ndarray] = []
-    for q in query[1:]:
-        ok = np.array([bool(q.fullmatch(c)) for c in chars])
-        after = np.full(n, -np.inf)
-        link = np.full(n, -1)
-        for j in range(1, n):
-            if not ok[j]:
-                continue
-            run = best[j - 1] + 4
-            k = int(np.argmax(best[: j - 1])) if j > 1 else -1
-            jump = best[k] - 1 + starts[j] if k >= 0 else -np.inf
-            if run >= jump and run > -np.inf:
-                after[j], link[j] = run, j - 1
-            elif jump > -np.inf:
-                after[j], link[j] = jump, k
-        best = after
-        back.append(link)
-    if not n or best.max() == -np.inf:
+    bare = [i for i, c in enumerate(key) if c not in (HEAD, WORD)]
+    if not bare:
+        return None
+    chars, at = [key[i] for i in bare], np.arange(len(bare))
+    led = [key[:i][len(key[:i].rstrip(HEAD + WORD)) :] for i in bare]
+    word, head = np.array([bool(x) for x in led]), np.array([HEAD in x for x in led])
+    start = GAP_START * word
+    fits = [np.array([bool(q.fullmatch(c)) for c in chars]) for q in query]
+    value, came = np.where(fits[0], start + GAP_HEAD * head - GAP_LATE * at, -np.inf), []
+    for fit in fits[1:]:
+        top = np.maximum.accumulate(value)
+        leader = np.maximum.accumulate(np.where(top > _behind(top, 1), at, 0))
+        run, jump = _behind(value, 1) + GAP_RUN, _behind(top, 2) + GAP_JUMP + start
+        came.append(np.where(run >= jump, at - 1, np.concatenate([[0, 0], leader])[: len(at)]))
+        value = np.where(fit, np.maximum(run, jump), -np.inf)
+    if value.max() == -np.inf:
         return None
-    places = [int(np.argmax(best))]
-    for link in reversed(back):
-        places.append(int(link[places[-1]]))
-    places.reverse()
-    return places, [i in word for i in range(n)], [i in head for i in range(n)]
+    places = [int(value.argmax())]
+    for before in reversed(came):
+        places.insert(0, int(before[places[0]]))
+    return places, word.tolist(), head.tolist()
 
 
 def gapped_score(query: list[re.Pattern[str]], key: str) -> float | None:
@@ -279,8 +272,8 @@ def search(index: DataFrame, text: str, aliases: dict[str, str] | None = None) -
             more += [(x, LOOSE_EXTRA) for x in H.loose_readings(w, 12 if loose else 4, not loose)]
             hit = one(w, last, more)
             # Whether some result has the word at a word's start decides for all of them.
-            edge = F.max("edge").over(W.partitionBy(F.lit(0)))
-            hit = hit.withColumn("s", F.when(edge, F.col("score")).otherwise(F.col("late"))).select("id", "place", F.col("s").alias(f"s{i}"))
+            hit = hit.crossJoin(F.broadcast(hit.agg(F.max("edge").alias("any_edge"))))
+            hit = hit.withColumn("s", F.when(F.col("any_edge"), F.col("score")).otherwise(F.col("late"))).select("id", "place", F.col("s").alias(f"s{i}"))
             both = hit if both is None else both.join(hit, ["id", "place"])
         total = sum(F.col(f"s{i}") for i in range(len(words))) / len(words) + WORD_EXTRA * (len(words) - 1)
         return both.select("id", total.alias("score"), "place")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from waymark.plans.store import Store
+
 
 def location_stats(cat: DataFrame) -> DataFrame:
     """One row over sections (course, ord, buildings, unknown): how many have places, and courses in several buildings."""
@@ -26,7 +28,7 @@ def building_spread(cat: DataFrame, pairs: DataFrame) -> DataFrame:
     x = per.select("course", F.explode("bs").alias("a"))
     y = per.select("course", F.explode("bs").alias("b"))
     ways = pairs.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("minutes").alias("back")), ["a", "b"]).select("a", "b", ((F.col("minutes") + F.col("back")) / 2).alias("mean"))
-    far = x.join(y, "course").where("a < b").join(F.broadcast(ways), ["a", "b"]).groupBy("course").agg(F.max("mean").alias("max_minutes"))
+    far = x.join(y, "course").where("a < b").join(ways, ["a", "b"]).groupBy("course").agg(F.max("mean").alias("max_minutes"))
     return per.join(far, "course", "left").select("course", "n_sections", "located", F.size("bs").cast("long").alias("n_buildings"), F.array_join("bs", ",").alias("buildings"), "max_minutes")
 
 
@@ -47,12 +49,37 @@ def midrank_percentile(rows: DataFrame, group: str, key: str, value: str) -> Dat
     return ranked.select(group, key, F.round((F.col("below") + F.col("ties") / 2) / F.col("n"), 6).alias("percentile"))
 
 
+def value_ranks(rows: DataFrame, value: str) -> DataFrame:
+    """(value, c, before): each distinct value, how often it occurs, and how many rows are below it. Values are dealt by
+    ranges, so no task sorts or holds all of them; the dealt values are written, as ranges come from a sample."""
+    spark = rows.sparkSession
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    dealt = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "value").select("*", F.spark_partition_id().alias("part"))
+    dealt = Store(spark, "ranks").put(dealt, "values")
+    within = dealt.withColumn("low", F.sum("c").over(W.partitionBy("part").orderBy("value")) - F.col("c"))
+    sizes = dealt.groupBy("part").agg(F.sum("c").alias("n"))
+    sizes = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
+    return within.join(sizes, "part").select("value", "c", (F.col("low") + F.col("base")).alias("before"))
+
+
 def bundle_summary(rows: DataFrame, value: str) -> DataFrame:
-    """n, mean, median, q90 and the mean of the top tenth (one row at least)."""
-    n = rows.agg(F.count(value).alias("n")).first()["n"]
-    top = rows.select(value).orderBy(F.desc(value)).limit(max(1, n // 10)).agg(F.round(F.avg(value), 4).alias("top_decile"))
-    q = rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.percentile(value, 0.5), 4).alias("median"), F.round(F.percentile(value, 0.9), 4).alias("q90"))
-    return q.crossJoin(F.broadcast(top))
+    """n, mean, median, q90 and the mean of the top tenth (one row at least); quantiles are interpolated between ranks."""
+    ranks = value_ranks(rows, value)
+    ranks = ranks.crossJoin(F.broadcast(rows.agg(F.count(value).alias("n"))))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("c")), F.col("value")))
+
+    def quantile(q: float) -> Column:
+        place = (F.col("n") - 1) * q
+        return at(F.floor(place)) + (at(F.ceil(place)) - at(F.floor(place))) * F.max(place - F.floor(place))
+
+    top = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
+    share = F.greatest(F.lit(0), F.least(F.col("c"), F.col("before") + F.col("c") - (F.col("n") - top)))
+    return ranks.agg(
+        F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.round(F.sum(F.col("value") * F.col("c")) / F.max("n"), 4).alias("mean"), F.round(quantile(0.5), 4).alias("median"), F.round(quantile(0.9), 4).alias("q90"),
+        F.round(F.sum(F.col("value") * share) / F.max(top), 4).alias("top_decile"),
+    )
 
 
 def ci95(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -26,10 +26,16 @@ def sessions(rows: DataFrame, who: str, at: str, longest: float) -> DataFrame:
     return each.groupBy(who, "session").agg(F.min(at).alias("begin_s"), F.max(at).alias("end_s"), F.count(F.lit(1)).alias("n"))
 
 
-def stop_islands(rows: DataFrame, who: str, at: str, speed: str, slow: float, least: float, longest: float) -> DataFrame:
-    """who, begin, end: runs of points slower than `slow`, at least `least` seconds long, broken by gaps over `longest`."""
-    w = W.partitionBy(who).orderBy(at)
-    stopped = (F.col(speed) < slow).cast("int")
+def stop_islands(rows: DataFrame, who: str, at: str, speed: str, slow: float, least: float, longest: float, points: int = 0, missing: float = 1.0) -> DataFrame:
+    """who, begin, end: runs of points slower than `slow`, at least `least` seconds long, broken by gaps over `longest`.
+
+    Tracks of fewer than `points` points, or with more than the share `missing` of speeds null, have none; a null speed
+    ends a run.
+    """
+    w, whole = W.partitionBy(who).orderBy(at), W.partitionBy(who)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_known", F.count(speed).over(whole))
+    rows = rows.where((F.col("_n") >= points) & (F.col("_n") - F.col("_known") <= missing * F.col("_n"))).drop("_n", "_known")
+    stopped = F.coalesce((F.col(speed) < slow).cast("int"), F.lit(0))
     each = rows.withColumn("stop", stopped)
     turn = (F.col("stop") != F.lag("stop").over(w)) | (F.col(at) - F.lag(at).over(w) > longest)
     each = each.withColumn("run", F.sum(F.coalesce(turn.cast("int"), F.lit(1))).over(w))
@@ -86,19 +92,27 @@ def attempts(rows: DataFrame, keys: list[str], at: list[str]) -> DataFrame:
     return rows.withColumn("attempt", F.row_number().over(W.partitionBy(*keys).orderBy(*at)).cast("long"))
 
 
-def grade_bins(rows: DataFrame, grade: Column, value: str, edges: list[float]) -> DataFrame:
-    """Median of value in each class of grade; the first and the last class are open."""
+def median_of(value: str, exact: bool) -> Column:
+    """The median of a group: exact (a group's distinct values are held), or within a ten-thousandth of its ranks."""
+    return F.percentile(value, 0.5) if exact else F.percentile_approx(value, 0.5, 10000)
+
+
+def grade_bins(rows: DataFrame, grade: Column, value: str, edges: list[float], stairs: Column | None = None, exact: bool = True) -> DataFrame:
+    """Median of value in each class of grade; the first and the last class are open. With `stairs`, rows on them are two
+    classes of their own, behind the others: up and down. Where groups are large, exact=False holds a sketch only."""
     label = F.lit(len(edges))
     for i in range(len(edges) - 1, -1, -1):
         label = F.when(grade < edges[i], i).otherwise(label)
-    return rows.withColumn("bin", label.cast("int")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.percentile(value, 0.5).alias("median"))
+    if stairs is not None:
+        label = F.when(stairs, F.when(grade >= 0, len(edges) + 1).otherwise(len(edges) + 2)).otherwise(label)
+    return rows.withColumn("bin", label.cast("int")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), median_of(value, exact).alias("median"))
 
 
-def fit_slope_factor(rows: DataFrame, walker: str, ks: list[float]) -> DataFrame:
+def fit_slope_factor(rows: DataFrame, walker: str, ks: list[float], exact: bool = True) -> DataFrame:
     """k, sse for each k: how well exp(k * |grade|) explains the pace, with each walker's own median level."""
     grid = rows.sparkSession.createDataFrame([(float(k),) for k in ks], "k double")
     each = rows.crossJoin(F.broadcast(grid)).withColumn("r", F.log("pace") - F.col("k") * F.abs("grade"))
-    level = each.groupBy(walker, "k").agg(F.percentile("r", 0.5).alias("level"))
+    level = each.groupBy(walker, "k").agg(median_of("r", exact).alias("level"))
     return each.join(level, [walker, "k"]).groupBy("k").agg(F.sum((F.col("r") - F.col("level")) ** 2).alias("sse"))
 
 

@@ -36,8 +36,9 @@ def buildings_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def travel_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(a, b, minutes, source): of rows that repeat a pair the last stands."""
-    rows = spark.read.csv(path, header=True).withColumn("n", F.monotonically_increasing_id())
+    """(a, b, minutes, source): of rows that repeat a pair the last stands, in the order of files by path and of rows."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.csv(path, header=True).withColumn("n", place)
     last = rows.groupBy(F.trim("from").alias("a"), F.trim("to").alias("b")).agg(F.max(F.struct("n", F.col("minutes").try_cast("double").alias("minutes"), "source")).alias("x"))
     return last.select("a", "b", "x.minutes", "x.source")
 
@@ -79,15 +80,16 @@ TRACK = "walk string, walker string, device string, start string, t long, lat do
 def tracks_csv(spark: SparkSession, path: str) -> DataFrame:
     """GPS points of files or folders; of a walk that several files hold the one with most points counts.
 
-    A walker's letter that several devices use is split by device.
+    A walker's letter that several devices use is split by device. A file whose header lacks a column, or has them in
+    another order, fails the read.
     """
-    rows = spark.read.schema(TRACK).option("header", True).csv(path).withColumn("file", F.col("_metadata.file_path"))
+    rows = spark.read.schema(TRACK).option("header", True).option("enforceSchema", False).csv(path).withColumn("file", F.col("_metadata.file_path"))
     size = rows.groupBy("walk", "file").agg(F.count(F.lit(1)).alias("n"))
     best = size.groupBy("walk").agg(F.max(F.struct("n", "file")).alias("m")).select("walk", F.col("m.file").alias("file"))
     kept = rows.join(best, ["walk", "file"], "left_semi")
     devices = kept.select("walker", "device").distinct().withColumn("place", F.dense_rank().over(W.partitionBy("walker").orderBy("device"))).withColumn("many", F.count(F.lit(1)).over(W.partitionBy("walker")))
     named = devices.select(F.col("walker").alias("w"), F.col("device").alias("d"), F.when(F.col("many") > 1, F.concat("walker", F.lit("-"), "place")).otherwise(F.col("walker")).alias("name"))
-    out = kept.join(F.broadcast(named), (F.col("walker") == F.col("w")) & F.col("device").eqNullSafe(F.col("d")))
+    out = kept.join(named, (F.col("walker") == F.col("w")) & F.col("device").eqNullSafe(F.col("d")))
     return out.withColumn("walker", F.col("name")).withColumn("ts", (F.unix_millis(F.to_timestamp("start")) + F.col("t")) / 1000).drop("w", "d", "name", "file")
 
 

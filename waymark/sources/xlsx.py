@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from waymark.functions.text import clean_cell, section_no
+
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -112,3 +114,24 @@ def table_below(rows: DataFrame, marker: str, hints: dict[str, tuple[str, ...]],
     at = header_row(rows, marker)
     columns = map_columns(rows.where(F.col("idx") == at).first()["cells"], hints, required)
     return rows.where(F.col("idx") > at).select(F.col("idx").alias("ordinal"), *[F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit(""))).alias(n) for n, i in columns.items()])
+
+
+#: Words of the headers of a section's metadata, and the column that marks the header row.
+META = {"course": ("교과목번호",), "section": ("강좌번호",), "year": ("학년",), "college": ("개설대학",), "dept": ("개설학과",), "enrolled": ("수강신청인원",), "remark": ("비고",)}
+META_MARKER = "교과목번호"
+
+
+def section_meta(rows: DataFrame) -> DataFrame:
+    """(course, section, year, college, dept, enrolled, remark) of a workbook's rows; of a repeated section the last row.
+
+    Blank cells and 'nan' are empty; a department that is missing is its college; the number enrolled is the digits of its
+    cell, 0 without any. Rows without a course go; a column that the header lacks is empty.
+    """
+    rows = table_below(rows, META_MARKER, META, ("course",))
+    cell = lambda name: clean_cell(F.col(name)) if name in rows.columns else F.lit("")
+    out = rows.select("ordinal", *[cell(name).alias(name) for name in META]).where("course <> ''")
+    digits = F.coalesce(F.nullif(F.regexp_replace("enrolled", "[^0-9]", ""), F.lit("")).try_cast("long"), F.lit(0))
+    dept = F.coalesce(F.nullif(F.col("dept"), F.lit("")), F.col("college"))
+    out = out.select("ordinal", "course", section_no(F.col("section")).alias("section"), "year", "college", dept.alias("dept"), digits.alias("enrolled"), "remark")
+    last = out.groupBy("course", "section").agg(F.max(F.struct("ordinal", "year", "college", "dept", "enrolled", "remark")).alias("m"))
+    return last.select("course", "section", "m.year", "m.college", "m.dept", "m.enrolled", "m.remark")
