@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.catalogue_parts import extras, schedules
-from waymark.functions import hangul
+from waymark.functions import geo, hangul
 from waymark.functions import text as X
-from waymark.operators import catalog, footprints, graph, search, stats
+from waymark.operators import catalog, elevation, footprints, graph, patches, schedule, search, stats
+from waymark.plans.campus import Rules
+from waymark.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -196,3 +198,82 @@ def test_small_texts(spark):
     assert [tuple(r) for r in got.merged] == [(0, 5)] and [tuple(r) for r in got.parts] == [("abcde", True), ("f", False)]
     assert tuple(got.p) == ("220-1→301", "220-1", "301") and tuple(got.q) == ("R1", "GATE", "302") and got.n is None
     assert got.k == "0009-0002" and got.c == 4000 and got.name == "title" and tuple(got.m) == (False, 9, "-2") and tuple(got.place) == (37.45, 126.95) and got.label == "001 (미정)"
+
+
+def test_elevation_estimates(spark):
+    sq = _rings(spark, [_square(1, 0.0, 0.0, 10.0)])
+    buildings = spark.createDataFrame([("a", 0.0, 0.0), ("b", 100.0, 0.0), ("c", 500.0, 0.0)], "building string, x double, y double")
+    picked = spark.createDataFrame([("a", 1), ("b", None), ("c", None)], "building string, fid long")
+    at = elevation.ground_samples(buildings, picked, sq, step=1.0)
+    assert {r["building"]: r["count"] for r in at.groupBy("building").count().collect()} == {"a": 80, "b": 24, "c": 24}
+    levels = elevation.ground_levels(at.withColumn("z", F.when(F.col("x") < 300, F.col("x") * 0.2 + 50)))
+    got = {r.building: r for r in levels.collect()}
+    assert math.isclose(got["a"].mean, 50, abs_tol=1e-9) and got["a"].sloped and math.isclose(got["b"].mean, 70, abs_tol=1e-9) and got["c"].mean is None and got["c"].samples == 0
+    doors = spark.createDataFrame([("a", "main", 50.2, None), ("a", "main", 50.9, " "), ("a", "side", 46.0, "B2"), ("b", "side", 70.0, None), ("b", "side", 75.0, None)], "building string, kind string, ground double, checked string")
+    floors = elevation.entrance_floors(doors, levels)
+    assert sorted((r.building, r.floor) for r in floors.collect()) == [("a", "1층"), ("a", "1층"), ("a", "B2"), ("b", "1층"), ("b", "2층")]
+    out = {r.building: r for r in elevation.estimates(buildings, levels, floors).collect()}
+    assert (out["a"].lobby_source, out["a"].multi_level) == ("main", True) and math.isclose(out["a"].lobby, 50.55)
+    assert out["b"].lobby is None and "lobby_open_heights_differ" in out["b"].notes and out["c"].notes == ["no_height"] and out["c"].entrances == 0
+
+
+def test_patches_join_graphs(spark):
+    nodes = spark.createDataFrame([("g", 0, 0.0, 0.0), ("g", 1, 100.0, 0.0), ("h", 5, 0.0, 0.0)], "graph string, node long, x double, y double")
+    edges = spark.createDataFrame([("g", 0, 1, "road")], "graph string, a long, b long, kind string")
+    path = lambda p, *at: [("g", p, i, float(x), float(y), "foot") for i, (x, y) in enumerate(at)]
+    rows = path(1, (0.4, 0.3), (20, 30), (50, 10)) + path(2, (50.1, 10.1), (60, 40)) + path(3, (60, 48), (60, 90)) + path(4, (500, 500), (510, 500))
+    out = patches.apply_patches(nodes, edges, spark.createDataFrame(rows, "graph string, path long, i int, x double, y double, kind string")).collect()
+    assert len(out) == 1 and out[0].free == [2, 3, 4] or out[0].free == [3, 4]
+    made = [(e.a, e.b, e.path, e.from_a, e.from_b) for e in out[0].edges]
+    at = {n.node: (n.x, n.y) for n in out[0].nodes} | {0: (0.0, 0.0), 1: (100.0, 0.0)}
+    linked = {n: {b for a, b, *_ in made if a == n} | {a for a, b, *_ in made if b == n} for n in at}
+    # Path 1 begins at node 0 (0.5 m off) and shares a point with path 2; path 3's lower end is 8 m from path 2's upper one.
+    first = next(n for n, p in at.items() if p == (0.4, 0.3))
+    assert 0 in linked[first] and sum(p == (50.0, 10.0) for p in at.values()) == 1 and not any(p == (50.1, 10.1) for p in at.values())
+    reached, todo = set(), [0]
+    while todo:
+        n = todo.pop()
+        if n not in reached:
+            reached.add(n)
+            todo += linked[n]
+    assert {p for n, p in at.items() if n in reached} >= {(20.0, 30.0), (60.0, 40.0), (60.0, 48.0), (60.0, 90.0)} and not any(p[0] >= 500 for n, p in at.items() if n in reached)
+
+
+def test_patch_splits_the_edge_it_joins():
+    graph_ = patches.Patch({0: (0.0, 0.0), 1: (100.0, 0.0)}, iter([(0, 1, "road")]))
+    assert graph_.lay({7: ("foot", np.array([[30.0, 5.0], [30.0, 60.0]])), 8: ("foot", np.array([[70.0, 4.0], [70.0, 50.0]]))}, 0.3, 1.0, 10.0) == [7, 8]
+    feet = sorted(p for n, p in graph_.xy.items() if p[1] == 0.0)
+    assert feet == [(0.0, 0.0), (30.0, 0.0), (70.0, 0.0), (100.0, 0.0)]
+    pieces = [(a, b) for a, b, _, path, fa, fb in graph_.added if path is None]
+    assert len(pieces) == 4 and all(x[4:] == (0, 1) for x in graph_.added if x[3] is None)
+
+
+def test_packed_numbers_and_pages(spark):
+    import base64
+
+    got = spark.createDataFrame([([1, 258, 65535],), ([],)], "v array<long>").select(sinks.packed_numbers(F.col("v")).alias("p")).collect()
+    assert np.frombuffer(base64.b64decode(got[0].p), "<u2").tolist() == [1, 258, 65535] and got[1].p == ""
+    assert [schedule.page_size(n) for n in (0, 24, 30, 72, 168)] == [24, 72, 72, 168, 360]
+    x, y = geo.local_xy(F.lit(37.461), F.lit(126.953), 37.46, 126.95)
+    lat, lon = geo.from_local_xy(x, y, 37.46, 126.95)
+    back = spark.range(1).select(lat.alias("lat"), lon.alias("lon")).first()
+    assert math.isclose(back.lat, 37.461, abs_tol=1e-9) and math.isclose(back.lon, 126.953, abs_tol=1e-9)
+
+
+def test_request_documents(spark):
+    import json
+
+    legs = spark.createDataFrame([(1, [4, 5], 0, 1, 0, 3, 2.0), (1, [4, 5], 0, 2, 3, 0, 2.5)], "request long, combo array<long>, day int, leg long, from_b int, to_b int, minutes double")
+    found = spark.createDataFrame([(1, 1, [4, 5], 4.5, 0.0, 4.5), (1, 2, [4, 6], 5.0, 0.0, 5.0)], "request long, rank long, combo array<long>, travel double, late double, cost double")
+    places = spark.createDataFrame([(0, "home", 1.0, 2.0), (3, "three", 1.5, 2.5), (9, "nine", 0.0, 0.0)], "building int, name string, lat double, lon double")
+    doc = json.loads(sinks.request_documents(legs, found, places, 0, {"semester": "2026-2"}).first().document)
+    assert doc["home"] == 0 and doc["meta"] == {"semester": "2026-2"} and [t["rank"] for t in doc["timetables"]] == [1, 2] and [b["name"] for b in doc["buildings"]] == ["home", "three"]
+    assert [leg["to_b"] for leg in doc["timetables"][0]["days"][0]["route"]] == [3, 0]
+
+
+def test_sections_are_admitted_one_by_one(spark):
+    ms = [{"mpos": 0, "day": 0, "s": 700, "e": 800, "building": 1}]
+    rows = [(1, 0, 10, ms), (1, 0, 11, None), (1, 1, 12, ms), (2, 0, 13, ms), (2, 1, None, None)]
+    options = spark.createDataFrame(rows, "request long, course long, ord long, meetings array<struct<mpos:int,day:int,s:int,e:int,building:int>>")
+    keep = lambda rules: sorted(r.ord for r in schedule.admitted_sections(options, rules).collect())
+    assert keep(Rules()) == [10, 11, 12] and keep(Rules(free_days=(0,))) == [] and keep(Rules(lunch=(690, 810, 60))) == []

@@ -67,6 +67,14 @@ def local_xy(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column
     return (lon - lon0) * per_lon, (lat - lat0) * per_lat
 
 
+def from_local_xy(x: Column, y: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
+    """Latitude and longitude of metres east and north of an origin: the inverse of local_xy."""
+    p = math.radians(lat0)
+    per_lat = 111132.92 - 559.82 * math.cos(2 * p) + 1.175 * math.cos(4 * p)
+    per_lon = 111412.84 * math.cos(p) - 93.5 * math.cos(3 * p)
+    return y / per_lat + lat0, x / per_lon + lon0
+
+
 def ring_area(ring: Column) -> Column:
     """Shoelace area of array<struct<x, y>>, closed or not."""
     n = F.size(ring)

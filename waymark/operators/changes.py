@@ -31,6 +31,11 @@ def poll_hours(now: Column, detected: Column, opens: Column, closes: Column, qui
     return F.when(now - detected < F.expr("INTERVAL 30 DAYS"), quick).when(now.between(opens, closes), quick).otherwise(slow)
 
 
+def poll_reason(now: Column, detected: Column, opens: Column, closes: Column) -> Column:
+    """Why polls are as often as poll_hours says: 'new_semester', 'registration' or 'usual'."""
+    return F.when(now - detected < F.expr("INTERVAL 30 DAYS"), "new_semester").when(now.between(opens, closes), "registration").otherwise("usual")
+
+
 def boost_window(rows: DataFrame, keywords: list[str], margin_days: int = 3) -> DataFrame:
     """(opens, closes) around the rows whose kind has a keyword; nulls where there is none."""
     hit = F.lit(False)

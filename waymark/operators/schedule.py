@@ -119,6 +119,24 @@ def top_k(evaluated: DataFrame, k: int, offset: int = 0) -> DataFrame:
     return best.where((F.col("rank") > offset) & (F.col("rank") <= offset + k))
 
 
+def page_size(shown: int, first: int = 24) -> int:
+    """How many schedules to fetch when more than `shown` are asked for: first 24, then twice as many and 24 more (72, 168,
+    360, ...). What was fetched before keeps its order."""
+    n = first
+    while n <= shown:
+        n = 2 * n + first
+    return n
+
+
+def admitted_sections(options: DataFrame, rules: Rules) -> DataFrame:
+    """Rows of choices (request, course, ord, meetings) whose section keeps the rules by itself; of a request with a course
+    that no section is left of, none."""
+    kept = options.where("ord IS NOT NULL").where(F.col("meetings").isNull() | obeys(F.col("meetings"), rules))
+    left = kept.select("request", "course").distinct()
+    lost = options.select("request", "course").distinct().join(left, ["request", "course"], "left_anti").select("request").distinct()
+    return kept.join(lost, "request", "left_anti")
+
+
 def lunch_gap(busy: Column, lunch: tuple[int, int, int]) -> Column:
     """True where array<struct<s, e>> leaves `minutes` free inside [start, end): from its start or the end of a meeting."""
     start, end, minutes = lunch

@@ -24,6 +24,27 @@ def course_documents(sections: DataFrame, skip: tuple[str, ...] = ("논문",)) -
     return docs.select("course_id", F.to_json(F.struct("course_id", "name", "sections")).alias("document"))
 
 
+def packed_numbers(values: Column, bits: int = 16) -> Column:
+    """An array of numbers 0..2^bits - 1 as base64 of little-endian unsigned integers; a model's payload."""
+    hexed = F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), bits // 4, "0"))
+    turned = F.transform(hexed, lambda h: F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(bits // 8 - 1)), lambda i: F.substring(h, i * 2 + 1, F.lit(2)))), ""))
+    return F.base64(F.unhex(F.array_join(turned, "")))
+
+
+def request_documents(legs: DataFrame, evaluated: DataFrame, buildings: DataFrame, home: int, meta: dict[str, str]) -> DataFrame:
+    """(request, document): a request's schedules in order of rank, with their days and routes, the buildings they visit
+    with names and places, the home and the document's meta fields."""
+    leg = F.struct("leg", "from_b", "to_b", F.round("minutes", 1).alias("minutes"))
+    days = legs.groupBy("request", "combo", "day").agg(F.array_sort(F.collect_list(leg)).alias("route"))
+    nested = days.groupBy("request", "combo").agg(F.array_sort(F.collect_list(F.struct("day", "route"))).alias("days"))
+    one = F.struct("rank", "combo", *[F.round(c, 1).alias(c) for c in ("travel", "late", "cost")], "days")
+    found = evaluated.join(nested, ["request", "combo"], "left").groupBy("request").agg(F.array_sort(F.collect_list(one)).alias("timetables"))
+    visited = legs.join(evaluated.select("request", "combo"), ["request", "combo"], "left_semi").select("request", F.explode(F.array("from_b", "to_b")).alias("building")).distinct()
+    named = visited.join(buildings, "building").groupBy("request").agg(F.array_sort(F.collect_list(F.struct("building", "name", "lat", "lon"))).alias("buildings"))
+    fields = [F.lit(home).alias("home"), F.struct(*[F.lit(v).alias(k) for k, v in meta.items()]).alias("meta")] if meta else [F.lit(home).alias("home")]
+    return found.join(named, "request", "left").select("request", F.to_json(F.struct(*fields, "timetables", "buildings")).alias("document"))
+
+
 def result_documents(legs: DataFrame, evaluated: DataFrame) -> DataFrame:
     """(combo, document): days with their legs, minutes to one decimal, and the totals."""
     leg = F.struct("leg", "from_b", "to_b", F.round("minutes", 1).alias("minutes"))
