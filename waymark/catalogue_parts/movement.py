@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, polyline
+from waymark.functions import hangul as H
 from waymark.operators import graph as G
 from waymark.operators import raster as R
+from waymark.operators import search as Q
 from waymark.operators import tracks as T
 from waymark.operators.components import connected_components
 from waymark.plans import campus as C
@@ -200,30 +202,33 @@ def polyline_roundtrip(spark, sf):
 
 
 def mask_prefilter(spark, sf):
-    """Parts whose names have all letters of a query, by bit masks."""
-    def mask(c):
-        return F.aggregate(F.transform(F.filter(F.split(F.lower(c), ""), lambda x: x.rlike("^[a-z]$")), lambda x: F.expr("1L") * F.pow(F.lit(2), F.ascii(x) - 97).cast("long")), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    """Parts whose names have all letters of a query, by the search's bit masks."""
+    p = C.table(spark, sf, "part").withColumn("mask", H.mask_udf(H.norm_key_udf("p_name")))
+    need = F.lit(H.mask(H.norm_key("ring")))
+    return p.where(F.col("mask").bitwiseAND(need) == need).select("p_partkey", "p_name")
 
-    p = C.table(spark, sf, "part").withColumn("mask", mask(F.col("p_name")))
-    return p.where(F.col("mask").bitwiseAND(mask(F.lit("ring"))) == mask(F.lit("ring"))).select("p_partkey", "p_name")
+
+def _search_index(spark, sf) -> DataFrame:
+    p = C.table(spark, sf, "part")
+    kind = F.when(F.col("p_type") == "ECONOMY", "교양").when(F.col("p_type") == "STANDARD", "전선").otherwise("전필")
+    return Q.build_index(p.select(
+        F.concat(F.lit("P"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.lit("dept").alias("dept"), F.array(F.lit("x")).alias("profs"), F.array(F.lit("001")).alias("section_nos"),
+        kind.alias("cls"), F.col("p_size").cast("double").alias("credit"), F.array(F.col("p_size").cast("string")).alias("buildings"),
+    ))
 
 
 def multiword_search(spark, sf):
-    """Parts with every word of a query: mean of each word's place score (head 0, word head 1, inside 2)."""
-    p = C.table(spark, sf, "part")
-    words = spark.createDataFrame([("r",), ("i",)], "word string")
-    at = F.when(F.lower("p_name").startswith(F.col("word")), 0.0).when(F.lower("p_name").contains(F.concat(F.lit(" "), F.col("word"))), 1.0).when(F.lower("p_name").contains(F.col("word")), 2.0)
-    hits = p.crossJoin(F.broadcast(words)).withColumn("score", at).where("score IS NOT NULL")
-    g = hits.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score")).where("n = 2")
-    return g.select("p_partkey", F.round(F.col("score") + 0.01, 6).alias("score"))
+    """Parts that a search of two words finds: those with both."""
+    return Q.search(_search_index(spark, sf), "in re ").select("id")
 
 
 def special_words(spark, sf):
-    """Words that are filters: '<n>s' by size, 'b<n>' by brand; others match names."""
-    words = spark.createDataFrame([("10s",), ("b3",), ("ring",)], "word string")
-    size, brand = F.regexp_extract("word", r"^(\d+)s$", 1), F.regexp_extract("word", r"^b(\d+)$", 1)
-    hit = F.when(size != "", F.col("p_size").cast("string") == size).when(brand != "", F.col("p_brand") == F.concat(F.lit("Brand#"), brand)).otherwise(F.lower("p_name").contains(F.col("word")))
-    return C.table(spark, sf, "part").crossJoin(F.broadcast(words)).where(hit).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """Words that are filters: a class, credits, a building; and one of them with a word of the name."""
+    index, out = _search_index(spark, sf), None
+    for text in ("전공 ", "10학점 ", "7동 ", "교양 in "):
+        one = Q.search(index, text).select(F.lit(text.strip()).alias("text"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 NAMES = """gaps sessions stop_islands moving_average running_max median_filter asof_interpolate overlap_length ascent_descent attempts grade_bins k_grid_fit tobler_time mercator tumbling_counts sliding_counts components dijkstra
@@ -283,7 +288,7 @@ ORACLE_SQL = {
     "perimeter_level": "SELECT l_suppkey % 50 AS fid, round(sum(l_tax * l_quantity) / sum(l_quantity), 8) AS mean, min(l_tax) AS low, max(l_tax) AS high, round(max(l_tax) - min(l_tax), 6) AS span FROM lineitem GROUP BY 1",
     "polyline_roundtrip": f"WITH {C.SQL_TRAVEL} SELECT building % 5 AS g, (row_number() OVER (PARTITION BY building % 5 ORDER BY building) - 1)::INTEGER AS i, round(lat, 5) AS lat, round(lon, 5) AS lon FROM bld",
     "mask_prefilter": "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%r%' AND lower(p_name) LIKE '%i%' AND lower(p_name) LIKE '%n%' AND lower(p_name) LIKE '%g%'",
-    "multiword_search": """WITH w(word) AS (VALUES ('r'), ('i')), h AS (SELECT p_partkey, CASE WHEN p_name ILIKE word || '%' THEN 0 WHEN p_name ILIKE '% ' || word || '%' THEN 1 WHEN p_name ILIKE '%' || word || '%' THEN 2 END AS s FROM part, w)
-        SELECT p_partkey, round(avg(s) + 0.01, 6) AS score FROM h WHERE s IS NOT NULL GROUP BY 1 HAVING count(*) = 2""",
-    "special_words": "SELECT '10s' AS word, count(*) AS n FROM part WHERE p_size = 10 HAVING count(*) > 0 UNION ALL SELECT 'b3', count(*) FROM part WHERE p_brand = 'Brand#3' HAVING count(*) > 0 UNION ALL SELECT 'ring', count(*) FROM part WHERE p_name ILIKE '%ring%' HAVING count(*) > 0",
+    "multiword_search": "SELECT 'P' || p_partkey AS id FROM part WHERE replace(lower(p_name), ' ', '') LIKE '%in%' AND replace(lower(p_name), ' ', '') LIKE '%re%'",
+    "special_words": """SELECT '전공' AS text, 'P' || p_partkey AS id FROM part WHERE p_type <> 'ECONOMY' UNION ALL SELECT '10학점', 'P' || p_partkey FROM part WHERE p_size = 10 UNION ALL SELECT '7동', 'P' || p_partkey FROM part WHERE p_size = 7
+        UNION ALL SELECT '교양 in', 'P' || p_partkey FROM part WHERE p_type = 'ECONOMY' AND replace(lower(p_name), ' ', '') LIKE '%in%'""",
 }

@@ -65,7 +65,10 @@ def raster_window(cells: DataFrame, layers: DataFrame, box: tuple[float, float,
 def finest_heights(points: DataFrame, cells: DataFrame, layers: DataFrame) -> DataFrame:
     """(point, layer, z): each point's height between the four cells around it, in the finest layer that has all four; where
     none has, the nearest cell's of the finest layer that has it; null without any."""
-    at = points.crossJoin(F.broadcast(layers)).select("point", "layer", "size", ((F.col("x") - F.col("x0")) / F.col("size")).alias("u"), ((F.col("y") - F.col("y0")) / F.col("size")).alias("v"))
+    extent = cells.groupBy("layer").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
+    # Layers are the sheets of a map: a few rows, of which a point meets those that it lies in.
+    u, v = (F.col("x") - F.col("x0")) / F.col("size"), (F.col("y") - F.col("y0")) / F.col("size")
+    at = points.join(layers.join(extent, "layer"), u.between(F.col("c0") - 1, F.col("c1") + 1) & v.between(F.col("r0") - 1, F.col("r1") + 1)).select("point", "layer", "size", u.alias("u"), v.alias("v"))
     corners = F.array(*[F.struct((F.floor("u") + i).alias("col"), (F.floor("v") + j).alias("row")) for i in (0, 1) for j in (0, 1)])
     near = at.withColumn("c", F.explode(corners)).select("point", "layer", "size", "u", "v", "c.col", "c.row").join(cells, ["layer", "col", "row"])
     w = (1 - F.abs(F.col("u") - F.col("col"))) * (1 - F.abs(F.col("v") - F.col("row")))
