@@ -52,3 +52,11 @@ def test_words(index):
 def test_marks():
     assert S.highlights("대학 글쓰기 1", "글쓰") == [(3, 5)]
     assert S.split_marks("abcdef", [(1, 3), (2, 4)]) == [("a", False), ("bcd", True), ("ef", False)]
+
+
+def test_numbers_of_courses(spark):
+    rows = [("M1522.000100", "a", "d", ["x"], ["001"]), ("034.005", "b", "d", ["x"], ["001"])]
+    index = S.build_index(spark.createDataFrame(rows, "id string, name string, dept string, profs array<string>, section_nos array<string>"))
+    score = lambda text: {r.id: round(r.score, 3) for r in S.search(index, text).collect()}
+    assert score("034.005 ") == {"034.005": 0.5} and score("034005 ") == {"034.005": 0.8} and score("000100 ")["M1522.000100"] == 5.0
+    assert score("1522.0001 ")["M1522.000100"] == 5.0 and score("15220001 ")["M1522.000100"] == 5.3 and score("22000100 ")["M1522.000100"] == 5.8

@@ -210,7 +210,8 @@ def score_quality(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id",
     """One row per row of docs: id_col, score (higher: label 1 likelier).
 
     A null text is empty; a text without words has the score of zero features. Repeated rows get equal scores; ids,
-    nulls among them, pass through; an empty table gives an empty result. The model is a few hundred numbers.
+    nulls among them, pass through; an empty table gives an empty result. A very long text is measured whole, in a batch
+    of its own. The model is a few hundred numbers.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 

@@ -28,6 +28,8 @@ TAG = re.compile(r"^\s*[(\[][^)\]]{1,8}[)\]]\s*")
 INITIALS_SCORE, HEAD_GAP, DEPT, GAP, ID, PROF, SPECIAL, LATE = 3.0, 3.2, 3.4, 4.0, 5.0, 7.0, 8.0, 1.8
 #: Whole-match scores (typed out, still typing) at the head, at a word, inside.
 PLACES = ((0.0, 1.5), (1.0, 2.5), (2.0, 4.5))
+#: A course's number may be typed without its dots, from so many characters on, at so much more.
+BARE_LENGTH, BARE_EXTRA = 6, 0.3
 ALIAS_EXTRA, LAYOUT_EXTRA, LOOSE_EXTRA, WORD_EXTRA = 0.2, 0.5, 1.5, 0.01
 
 
@@ -205,9 +207,10 @@ def match_word(index: DataFrame, word: str, typing: bool, special: Column | None
     dept_score = F.when(dept > 0, DEPT + 0.001 * _bare_length(F.substring(F.col("dept_key"), F.lit(1), dept - 1)))
     full, begins, has = _prof_hits(p)
     prof = F.when(F.lit(len(p.key) >= 2), F.when(full, 1.5).when(begins, PROF - 0.2).when(has, PROF))
-    ident = F.lower("id")
-    low = word.lower()
-    by_id = F.when(F.lit(not has_hangul and len(p.key) >= 3), F.when(ident == low, 0.5).when(F.instr(ident, low) == 1, ID).when(F.contains(ident, F.lit("." + low)), ID).when(F.contains(ident, F.lit(low)), ID + 0.5))
+    low, bare = word.lower(), word.lower().replace(".", "")
+    by_id = F.when(F.lit(not has_hangul and len(p.key) >= 3), _id_score(F.lower("id"), low, 0.0))
+    if not has_hangul and len(bare) >= BARE_LENGTH:
+        by_id = F.coalesce(by_id, _id_score(F.regexp_replace(F.lower("id"), r"\.", ""), bare, BARE_EXTRA))
     by_no = F.when(F.lit(bool(re.fullmatch(r"\d{3}", word))) & F.array_contains("section_nos", word), 4.5)
     name = F.col("name_hit.score")
     other = [gap, dept_score, prof, by_id, by_no]
@@ -217,6 +220,13 @@ def match_word(index: DataFrame, word: str, typing: bool, special: Column | None
     return out.where("score IS NOT NULL")
 
 
+def _id_score(key: Column, word: str, extra: float) -> Column:
+    """A course's number: whole, at the begin of a part (or behind a letter that begins it), or inside; null elsewhere."""
+    at = F.instr(key, word)
+    part = (at == 1) | (F.substring(key, at - 1, F.lit(1)) == ".") | ((at == 2) & key.rlike("^[a-z]"))
+    return F.when(at > 0, F.when(key == word, 0.5).when(part, ID).otherwise(ID + 0.5) + extra)
+
+
 def _prof_hits(p: Pattern) -> list[Column]:
     def some(pattern: str) -> Column:
         return F.exists("prof_keys", lambda k: F.rlike(k, F.lit(pattern)))
