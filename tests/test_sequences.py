@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waymark.catalogue_parts import extras, schedules
 from waymark.functions import geo, hangul
 from waymark.functions import text as X
-from waymark.operators import catalog, elevation, footprints, graph, patches, schedule, search, stats
+from waymark.operators import catalog, doorways, elevation, footprints, graph, patches, schedule, search, stats
 from waymark.plans.campus import Rules
 from waymark.sources import sinks
 
@@ -277,3 +277,32 @@ def test_sections_are_admitted_one_by_one(spark):
     options = spark.createDataFrame(rows, "request long, course long, ord long, meetings array<struct<mpos:int,day:int,s:int,e:int,building:int>>")
     keep = lambda rules: sorted(r.ord for r in schedule.admitted_sections(options, rules).collect())
     assert keep(Rules()) == [10, 11, 12] and keep(Rules(free_days=(0,))) == [] and keep(Rules(lunch=(690, 810, 60))) == []
+
+
+def test_doors_reach_roads_round_buildings(spark):
+    """A door in a building's south wall, a road north of it: the way goes round the corner and never through."""
+    house = [{"fid": 1, "ring": [(-10.0, 0.0), (10.0, 0.0), (10.0, 8.0), (-10.0, 8.0)]}]
+    doors_ = spark.createDataFrame([(1, 0.0, 0.0, 2, 30.0, 15.0), (2, 900.0, 900.0, 1, 5.0, 5.0)], "door long, x double, y double, max_links long, slack double, spacing double")
+    roads = spark.createDataFrame([(7, -40.0, 20.0, 40.0, 20.0)], "edge long, x1 double, y1 double, x2 double, y2 double")
+    got = sorted(doorways.door_links(doors_, _rings(spark, house), roads).collect(), key=lambda r: r.rank)
+    assert [(r.door, r.rank, r.edge) for r in got] == [(1, 1, 7), (1, 2, 7)]
+    yard = doorways.Yard(0.0, 0.0, 60.0, 1.0, [np.array(house[0]["ring"])], 2.0)
+    shortest = math.hypot(10, 0) + math.hypot(0, 20)
+    for r in got:
+        line = [(p.x, p.y) for p in r.line]
+        assert line[0] == (0.0, 0.0) and line[-1][1] == 20.0 and all(yard.sees(a, b) for a, b in zip(line, line[1:], strict=False))
+        assert math.isclose(r.length, sum(math.dist(a, b) for a, b in zip(line, line[1:], strict=False))) and r.length >= shortest - 3 and len(line) <= 5
+    assert got[0].length <= got[1].length + 1e-9 and math.dist((got[0].line[-1].x, 20), (got[1].line[-1].x, 20)) >= 15
+    assert not yard.free(yard.place(5.0, 4.0)) and yard.free(yard.place(0.0, 1.0)) and not yard.sees((-20.0, 4.0), (20.0, 4.0))
+
+
+def test_no_squeezing_between_corners():
+    """Two shut cells that touch at a corner leave no way between them."""
+    yard = doorways.Yard(0.0, 0.0, 3.0, 1.0, [], 0.0)
+    yard.shut[:] = True
+    for c in ((3, 3), (4, 4)):
+        yard.shut[c] = False
+    far, _ = yard.ways((3, 3))
+    assert np.isinf(far[4, 4])
+    yard.shut[3, 4] = yard.shut[4, 3] = False
+    assert math.isclose(yard.ways((3, 3))[0][4, 4], math.sqrt(2))

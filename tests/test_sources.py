@@ -2,9 +2,10 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.operators import raster
-from waymark.sources import files, sinks, xlsx
+from waymark.sources import files, sinks, stored, xlsx
 
 
 def _workbook(path, rows):
@@ -93,3 +94,32 @@ def test_raster_windows_and_finest_layer(spark):
     points = spark.createDataFrame([(1, 3.5, 3.5), (2, 1.5, 1.5), (3, 20.0, 20.0), (4, 500.0, 1.0)], "point long, x double, y double")
     got = {r.point: (r.layer, r.z) for r in raster.finest_heights(points, cells.where("z > -100 AND NOT isnan(z)"), layers).collect()}
     assert got == {1: ("fine", 38.5), 2: ("coarse", pytest.approx(65.65)), 3: ("coarse", 252.5), 4: (None, None)}
+
+
+def test_stored_answers(spark):
+    rows = [("a|b", "2026-09-01 10:00:00", 200, "x1"), ("a|b", "2026-09-02 10:00:00", 200, "x2"), ("b|c", "2026-09-02 11:00:00", 500, "x"), ("a|c", "2026-09-02 12:00:00", 200, '{"remark": "runtime error: timeout"}'), ("c|d", "2026-08-01 00:00:00", 200, "y")]
+    answers = spark.createDataFrame(rows, "key string, asked_at string, status int, body string").withColumn("asked_at", F.col("asked_at").cast("timestamp"))
+    assert {(r.key, r.body) for r in stored.newest_answers(answers).collect()} == {("a|b", "x2"), ("c|d", "y")}
+    ids = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    todo = stored.pairs_to_ask(ids, answers, symmetric=True)
+    assert {r.key for r in todo.collect()} == {"a|c", "a|d", "b|c", "b|d"}
+    assert len({r.key for r in stored.pairs_to_ask(ids, answers, symmetric=False).collect()}) == 10
+    assert [r.key for r in stored.within_quota(todo, answers, "2026-09-02", 5, ["a", "b"]).orderBy("key").collect()] == ["a|c", "a|d"]
+    assert {r.key for r in stored.still_to_ask(spark.createDataFrame([("a|b",), ("c|d",)], "key string"), answers, "2026-09-01").collect()} == {"c|d"}
+    waits = spark.range(5).select(stored.next_server(["s", "t"], F.col("id")).alias("n")).select("n.*").collect()
+    assert [(r.server, r.wait_s) for r in waits] == [("s", 0.0), ("t", 5.0), ("s", 10.0), ("t", 10.0), ("s", 20.0)]
+
+
+def test_files_by_name_and_signature(spark, tmp_path):
+    (tmp_path / "a.xls").write_bytes(bytes.fromhex("D0CF11E0A1B1"))
+    (tmp_path / "b.xls").write_bytes(b"<html>no</html>")
+    (tmp_path / "c.xls").write_bytes(b"")
+    assert {(r.path[-5], bool(r.ok)) for r in stored.workbooks(spark, str(tmp_path)).collect()} == {("a", True), ("b", False)}
+    names = spark.createDataFrame([("(B060)_37612018_F0010000.shp",), ("n3a_b0010000_376120181.shp",), ("F0020000.shp",), ("readme.txt",)], "n string")
+    got = [tuple(r.m) for r in names.select(stored.map_file(F.col("n")).alias("m")).collect()]
+    assert got == [("contour", "37612018", 5000), ("building", "376120181", 1000), ("spot", None, None), (None, None, None)]
+    page = spark.createDataFrame([('<link href="style.css?v=00ff"><script src="js/app.js"></script> app.js', "<table><tr><th>Kind</th><td> a <b>x</b>&nbsp;y</td></tr><TR><td>2026-01-02 ~\n 2026-01-05</td></TR></table>")], "p string, t string")
+    r = page.select(stored.stamped(F.col("p"), F.lit("abc1"), ["style.css", "app.js"]).alias("p"), stored.html_rows(F.col("t")).alias("t"), stored.assets_version(F.array("p")).alias("v"), stored.assets_version(F.array(F.replace("p", F.lit("?v=00ff"), F.lit("")))).alias("w")).first()
+    assert r.p == '<link href="style.css?v=abc1"><script src="js/app.js?v=abc1"></script> app.js' and r.t == [["Kind", "a x y"], ["2026-01-02 ~ 2026-01-05"]] and r.v == r.w and len(r.v) == 8
+    lines = stored.markdown_rows(spark.createDataFrame([(2, "b|c", None), (1, "a", 0.5)], "i int, name string, x double"), {"name": "Name", "x": "X"}, ["i"]).orderBy("line").collect()
+    assert [x.text for x in lines] == ["| Name | X |", "| --- | --- |", "| a | 0.5 |", "| b\\|c |  |"]
