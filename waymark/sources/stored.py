@@ -82,13 +82,14 @@ SHEET = r"(?<!\d)(3[3-8]\d{6,8})(?!\d)"
 
 
 def map_file(name: Column) -> Column:
-    """struct<layer, sheet, scale> of a map file's name: the layer by its code, the sheet's number, and the scale by how
-    long that is: 8 digits 1:5,000, 9 digits 1:1,000, 10 digits 1:500; nulls for what the name doesn't say."""
+    """struct<layer, sheet, scale> of a map file's path: the layer by its code, the last sheet number in it, and the scale
+    by how long that is: 8 digits 1:5,000, more 1:1,000; nulls for what the path doesn't say."""
     layer = F.lit(None).cast("string")
     for code, kind in LAYER_CODES.items():
         layer = F.when(F.contains(F.upper(name), F.lit(code)), kind).otherwise(layer)
-    sheet = F.nullif(F.regexp_extract(name, SHEET, 1), F.lit(""))
-    scale = F.when(F.length(sheet) == 8, 5000).when(F.length(sheet) == 9, 1000).when(F.length(sheet) == 10, 500)
+    sheets = F.regexp_extract_all(name, F.lit(SHEET), F.lit(1))
+    sheet = F.get(sheets, F.size(sheets) - 1)
+    scale = F.when(F.length(sheet) >= 9, 1000).when(F.length(sheet) == 8, 5000)
     return F.struct(layer.alias("layer"), sheet.alias("sheet"), scale.alias("scale"))
 
 
