@@ -178,9 +178,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = store.put(shared, "shared")
-    held = buckets.join(shared.hint("merge"), "key").select("key", "band", "node", "low", "high")
+    held = store.put(buckets.join(shared.hint("merge"), "key").select("key", "band", "node", "low", "high"), "buckets")
+    store.drop("shared")
+    # What is written of a bucket is narrow; the sketch bits join it where pairs are made.
     facts = nodes.select("node", "n", *[F.col("bits")[k].alias(f"b{k}") for k in range(2 * WORDS)])
-    held = store.put(held.join(facts.hint("merge"), "node"), "buckets")
     # The sets of all candidates, once.
     wanted = held.select("node").distinct().join(nodes.select("node", "digest", "who").hint("merge"), "node")
     wanted = wanted.select("node", "digest", F.col("who.id").alias("wanted_id"), F.col("who.content").alias("wanted"))
@@ -195,34 +196,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def against(pivot: str, rows: DataFrame) -> DataFrame:
         """Each node of a bucket with the bucket's pivot."""
-        tops = rows.where(F.col("node") == F.col(pivot)).hint("merge")
-        met = _side(rows, "u").join(_side(tops, "v"), "key")
-        return met.where((F.col("u") != F.col("v")) & _alike("u", "v"))
+        others, tops = rows.where(F.col("node") != F.col(pivot)), rows.where(F.col("node") == F.col(pivot))
+        met = _side(others.join(facts.hint("merge"), "node"), "u").join(_side(tops.join(facts.hint("merge"), "node"), "v").hint("merge"), "key")
+        return met.where(_alike("u", "v"))
 
     def joined(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Components of those before, each a star round its root, and of further links."""
         stars = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         return store.put(connected_components(stars.unionByName(links), store, name), f"roots-{name}")
 
-    def open_buckets(roots: DataFrame, name: str) -> DataFrame:
-        """Rows of the buckets whose nodes are not yet all in one component."""
-        rows = held.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def open_buckets(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        """Of the rows those of buckets whose nodes are not yet all in one component."""
+        rows = rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
         return store.put(rows.join(several.hint("merge"), "key"), name)
 
     roots = store.put(connected_components(verified(against("low", held), "links-low"), store, "low"), "roots-low")
-    left = open_buckets(roots, "open-high")
+    left = open_buckets(held, roots, "open-high")
+    store.drop("buckets")
     if not left.isEmpty():
         roots = joined(roots, verified(against("high", left), "links-high"), "high")
-        left = open_buckets(roots, "open-rest")
+        left = open_buckets(left.drop("root"), roots, "open-rest")
+        store.drop("open-high")
     if not left.isEmpty():
         main = left.where("node = low").select("key", F.col("root").alias("main"))
-        left = left.join(main.hint("merge"), "key").join(nodes.select("node", "keys").hint("merge"), "node")
-        left = store.put(left.withColumn("out", F.col("root") != F.col("main")), "rest")
-        rest = _side(left.where("out"), "u", "root", "low", "high", "keys", "band").join(_side(left, "v", "root", "keys", "out"), "key")
+        left = store.put(left.join(main.hint("merge"), "key").withColumn("out", F.col("root") != F.col("main")), "rest")
+        store.drop("open-rest")
+        wide = nodes.select("node", "keys").join(facts.hint("merge"), "node")
+        outside, every = left.where("out").join(wide.hint("merge"), "node"), left.join(wide.hint("merge"), "node")
+        rest = _side(outside, "u", "root", "low", "high", "keys", "band").join(_side(every, "v", "root", "keys", "out"), "key")
         fresh = (F.col("u_root") != F.col("v_root")) & ~F.col("v").isin(F.col("u_low"), F.col("u_high")) & (~F.col("v_out") | (F.col("u") < F.col("v")))
         first = F.expr("array_position(zip_with(u_keys, v_keys, (x, y) -> x = y), true) = u_band + 1")
         roots = joined(roots, verified(rest.where(fresh & _alike("u", "v") & first), "links-rest"), "rest")
+    store.drop("sets")
 
     placed = nodes.select("node", "digest", "least").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = store.put(placed, "placed")
