@@ -6,11 +6,14 @@ point is in one cell. Footprints are (fid, ring array<struct<x, y>>), rings clos
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from waymark.functions import geo
+from waymark.operators import blocks
 from waymark.operators.components import connected_components
 from waymark.plans.store import Store
 
@@ -45,7 +48,23 @@ def boundary_distances(points: DataFrame, footprints: DataFrame, reach: float) -
 
 def nearest_boundary(points: DataFrame, footprints: DataFrame, reach: float) -> DataFrame:
     """(point, fid, distance, x, y): the footprint whose boundary is nearest, within reach (ties: the lesser fid)."""
-    best = boundary_distances(points, footprints, reach).groupBy("point").agg(F.min(F.struct("distance", "fid", "x", "y")).alias("b"))
+    side = 8 * reach
+    seg = boundary(footprints).withColumn("bx", F.explode(blocks.spans(F.col("x1"), F.col("x2"), reach, side))).withColumn("by", F.explode(blocks.spans(F.col("y1"), F.col("y2"), reach, side)))
+    own, their = blocks.meet(points.select("point", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), seg, side)
+
+    def find(here: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
+        if here.empty or segs.empty:
+            return pd.DataFrame({c: [] for c in ("point", "fid", "distance", "x", "y")})
+        at = segs[["x1", "y1", "x2", "y2"]].to_numpy(float).T
+        rank = np.unique(segs["fid"].to_numpy(), return_inverse=True)[1]
+        best, d, x, y = blocks.nearest_segments(here["x"].to_numpy(float), here["y"].to_numpy(float), at, rank, reach)
+        hit = best >= 0
+        return pd.DataFrame({"point": here["point"].to_numpy()[hit], "fid": segs["fid"].to_numpy()[best[hit]], "distance": d[hit], "x": x[hit], "y": y[hit]})
+
+    kind = [f.schema[c].dataType.simpleString() for f, c in ((points, "point"), (footprints, "fid"))]
+    key = ("bx", "by", "part")
+    found = own.groupBy(*key).cogroup(their.groupBy(*key)).applyInPandas(find, f"point {kind[0]}, fid {kind[1]}, distance double, x double, y double")
+    best = found.groupBy("point").agg(F.min(F.struct("distance", "fid", "x", "y")).alias("b"))
     return best.select("point", "b.fid", "b.distance", "b.x", "b.y")
 
 
