@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from waymark.catalogue_parts import places
-from waymark.operators import blocks
+from waymark.operators import blocks, footprints
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +33,7 @@ def test_nearest_segments_against_a_loop():
             assert best[i] == -1 and math.isnan(d[i])
 
 
-@pytest.mark.parametrize("name", ["nearest_boundary"])
+@pytest.mark.parametrize("name", ["nearest_boundary", "entrance_owners"])
 def test_boundaries_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan(getattr(places, name)(spark, SF))
 
@@ -45,3 +45,11 @@ def test_a_full_block_is_dealt_into_parts(spark):
     own, their = blocks.meet(points, shapes, 8.0, most=20)
     assert own.count() == 90 and own.select("part").distinct().count() > 1
     assert sorted((r.fid, r.part) for r in their.collect()) == [(7, k) for k in range(5)]
+
+
+def test_owner_of_an_entrance_by_node_or_place(spark):
+    doors = spark.createDataFrame([(1, 5, 0.0, 0.0), (2, 6, 1.0, 0.0), (3, None, 90.0, 90.0)], "entrance long, node long, x double, y double")
+    ring = [{"x": x, "y": y} for x, y in ((1.5, -4.0), (9.0, -4.0), (9.0, 4.0), (1.5, 4.0))]
+    prints = spark.createDataFrame([(4, ring, [5, 5]), (3, ring, [])], "fid long, ring array<struct<x:double,y:double>>, nodes array<long>")
+    got = {tuple(r) for r in footprints.entrance_owners(doors, prints, 2.0).collect()}
+    assert got == {(1, 4, 0.0, 0.0), (2, 3, 1.5, 0.0)}

@@ -121,8 +121,10 @@ def entrance_owners(entrances: DataFrame, footprints: DataFrame, reach: float) -
     """(entrance, fid, x, y): the footprints that an entrance (entrance, node, x, y) belongs to: those whose outline has its
     node, at its own place; else the nearest boundary within reach, at the nearest place of it. footprints has `nodes`."""
     has = footprints.select("fid", F.explode(F.array_distinct("nodes")).alias("node"))
-    by_node = entrances.join(has, "node").select("entrance", "fid", "x", "y")
-    rest = entrances.join(by_node.select("entrance").distinct(), "entrance", "left_anti")
+    by_node = entrances.join(has.hint("merge"), "node").select("entrance", "fid", "x", "y")
+    # Which entrances have a node is asked of the nodes, not of the pairs, of which there may be many more.
+    placed = entrances.join(has.select("node").distinct().hint("merge"), "node", "left_semi").select("entrance").distinct()
+    rest = entrances.join(placed.hint("merge"), "entrance", "left_anti")
     near = nearest_boundary(rest.select(F.col("entrance").alias("point"), "x", "y"), footprints, reach)
     return by_node.unionByName(near.select(F.col("point").alias("entrance"), "fid", "x", "y"))
 
