@@ -69,3 +69,50 @@ def nearest_segments(px: np.ndarray, py: np.ndarray, seg: np.ndarray, rank: np.n
             best[own[row]] = s[col]
             out[:, own[row]] = d[row, col], qx[row, col], qy[row, col]
     return best, *out
+
+
+def ring_areas(x: np.ndarray, y: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Areas of rings laid end to end, to nine digits, so that equal shapes at different places have equal ones."""
+    own = np.repeat(np.arange(len(size)), size)
+    after = np.arange(len(x)) + 1
+    after[start + size - 1] = start
+    u, v = x - x[start][own], y - y[start][own]
+    area = np.abs(np.add.reduceat(u * v[after] - u[after] * v, start)) / 2
+    digits = 9 - np.ceil(np.log10(np.where(area > 0, area, 1.0)))
+    return np.round(area * 10.0**digits) / 10.0**digits
+
+
+def smallest_around(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, start: np.ndarray, size: np.ndarray, some: int = 64, work: int = 1 << 18) -> np.ndarray:
+    """For each point the first of the rings (x, y from start, of a size, in order) that holds it, or -1, by ray casting.
+
+    Rings are tried some at a time, on the points that none before them holds, by their boxes first.
+    """
+    after = np.arange(len(x)) + 1
+    after[start + size - 1] = start
+    west, east, south, north = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start), np.minimum.reduceat(y, start), np.maximum.reduceat(y, start)
+    found = np.full(len(px), -1)
+
+    def inside(p: np.ndarray, r: np.ndarray) -> np.ndarray:
+        k = size[r]
+        begin = np.cumsum(k) - k
+        a = np.repeat(start[r] - begin, k) + np.arange(k.sum())
+        b, u, v = after[a], np.repeat(px[p], k), np.repeat(py[p], k)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crosses = ((y[a] > v) != (y[b] > v)) & (u < (x[b] - x[a]) * (v - y[a]) / (y[b] - y[a]) + x[a])
+        return np.add.reduceat(crosses.astype(int), begin) % 2 == 1
+
+    for lo in range(0, len(px), work // some):
+        left = np.arange(lo, min(lo + work // some, len(px)))
+        for first in range(0, len(start), some):
+            box = slice(first, first + some)
+            u, v = px[left, None], py[left, None]
+            row, ring = np.nonzero((u >= west[box]) & (u <= east[box]) & (v >= south[box]) & (v <= north[box]))
+            if len(row):
+                parts = np.array_split(np.arange(len(row)), max(1, int(size[first + ring].sum()) // work))
+                held = np.concatenate([inside(left[row[s]], first + ring[s]) for s in parts if len(s)])
+                row, at = np.unique(row[held], return_index=True)
+                found[left[row]] = first + ring[held][at]
+                left = np.delete(left, row)
+            if not len(left):
+                break
+    return found

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import in_ring, ring_area
+from waymark.operators import blocks
 
 
 def bilinear(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -28,15 +30,29 @@ def densify(lines: DataFrame, step: float) -> DataFrame:
 
 
 def containing_footprint(points: DataFrame, footprints: DataFrame, cell: float) -> DataFrame:
-    """(point, fid): the smallest footprint (fid, ring) around each point, by grid cells of the footprints' boxes."""
-    xs, ys = F.transform("ring", lambda p: p.x), F.transform("ring", lambda p: p.y)
+    """(point, fid): the smallest footprint (fid, ring) around each point, by grid cells of the footprints' boxes.
 
-    def span(v: Column) -> Column:
-        return F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
-
-    boxed = footprints.withColumn("area", ring_area(F.col("ring"))).withColumn("cx", F.explode(span(xs))).withColumn("cy", F.explode(span(ys)))
-    placed = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    met = placed.join(boxed, ["cx", "cy"]).where(in_ring(F.col("x"), F.col("y"), F.col("ring")))
+    Areas that agree to nine digits are equal; the lesser fid wins.
+    """
+    xs, ys = [F.col(f"ring.{c}").cast("array<double>") for c in ("x", "y")]
+    span = lambda v: blocks.spans(F.array_min(v), F.array_max(v), 0.0, cell)
+    boxed = footprints.select("fid", xs.alias("xs"), ys.alias("ys")).withColumn("bx", F.explode(span("xs"))).withColumn("by", F.explode(span("ys")))
+    own, their = blocks.meet(points.select("point", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), boxed, cell)
+
+    def find(here: pd.DataFrame, rings: pd.DataFrame) -> pd.DataFrame:
+        if here.empty or rings.empty:
+            return pd.DataFrame({c: [] for c in ("point", "area", "fid")})
+        size = rings["xs"].map(len).to_numpy(int)
+        area = blocks.ring_areas(np.concatenate(rings["xs"].to_list()), np.concatenate(rings["ys"].to_list()), np.cumsum(size) - size, size)
+        order = np.lexsort((np.unique(rings["fid"].to_numpy(), return_inverse=True)[1], area))
+        rings, size, area = rings.iloc[order], size[order], area[order]
+        found = blocks.smallest_around(here["x"].to_numpy(float), here["y"].to_numpy(float), np.concatenate(rings["xs"].to_list()), np.concatenate(rings["ys"].to_list()), np.cumsum(size) - size, size)
+        hit = found >= 0
+        return pd.DataFrame({"point": here["point"].to_numpy()[hit], "area": area[found[hit]], "fid": rings["fid"].to_numpy()[found[hit]]})
+
+    kind = [f.schema[c].dataType.simpleString() for f, c in ((points, "point"), (footprints, "fid"))]
+    key = ("bx", "by", "part")
+    met = own.groupBy(*key).cogroup(their.groupBy(*key)).applyInPandas(find, f"point {kind[0]}, area double, fid {kind[1]}")
     return met.groupBy("point").agg(F.min(F.struct("area", "fid")).alias("m")).select("point", "m.fid")
 
 
