@@ -2,7 +2,10 @@
 
 import datetime
 
-from waymark.catalogue_parts import details
+from pyspark.sql import functions as F
+
+from waymark.catalogue_parts import analytics, details
+from waymark.functions import text
 
 
 def test_capped_combos_of_a_request_without_any(spark, tmp_path):
@@ -11,3 +14,15 @@ def test_capped_combos_of_a_request_without_any(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {tuple(r) for r in details.capped_combos(spark, str(tmp_path)).collect()}
     assert got == {(0, True, 0, None), (1, True, 2, "26")}
+
+
+def test_count_label_beyond_a_long(spark, tmp_path):
+    orders = [(10**7, 10**6), (3, 4), (0, 9), (36_000_000, 899_999)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = dict(analytics.count_label(spark, str(tmp_path)).collect())
+    assert got == {10**7: "10000경", 3: "45", 0: "0", 36_000_000: "116640경"}
+
+
+def test_count_label_keeps_every_digit(spark):
+    rows = spark.createDataFrame([(99999999999999999,), (9999,), (10000,), (1099999,), (-20000,), (None,)], "n long")
+    assert [r[0] for r in rows.select(text.count_label(F.col("n"))).collect()] == ["9.9경", "9999", "1만", "109만", "-20000", None]

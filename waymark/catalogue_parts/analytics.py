@@ -50,7 +50,8 @@ def section_numbers(spark, sf):
 
 def count_label(spark, sf):
     o = C.table(spark, sf, "orders")
-    n = F.col("o_orderkey") * F.col("o_orderkey") * (F.col("o_custkey") + 1)
+    k = F.col("o_orderkey").cast("decimal(19,0)")  # the product passes a long's range once the keys pass a million
+    n = k * k * (F.col("o_custkey") + 1)
     return o.select("o_orderkey", X.count_label(n).alias("label"))
 
 

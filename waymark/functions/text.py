@@ -100,12 +100,17 @@ def clock_seconds(text: Column) -> Column:
 
 
 def count_label(n: Column) -> Column:
-    """A count with its large unit and, below 100 of it, one decimal, rounded down: 12345 is '1.2만'."""
-    out = F.format_string("%d", n)
-    for unit, name in ((10**4, "만"), (10**8, "억"), (10**12, "조"), (10**16, "경")):
-        tenth = F.floor(n / (unit // 10))
-        text = F.when((tenth < 1000) & (tenth % 10 != 0), F.concat(F.floor(tenth / 10).cast("string"), F.lit("."), (tenth % 10).cast("string"))).otherwise(F.floor(tenth / 10).cast("string"))
-        out = F.when(n >= unit, F.concat(text, F.lit(name))).otherwise(out)
+    """A count with its large unit and, below 100 of it, one decimal, rounded down: 12345 is '1.2만'.
+
+    n is of any whole type, decimals without a fraction among them. Its digits are cut, so none is lost to rounding.
+    """
+    digits = n.cast("string")
+    out = digits
+    for zeros, name in ((4, "만"), (8, "억"), (12, "조"), (16, "경")):
+        head = F.left(digits, F.length(digits) - zeros)
+        tenth = F.substr(digits, F.length(head) + 1, F.lit(1))
+        text = F.when((F.length(head) <= 2) & (tenth != "0"), F.concat(head, F.lit("."), tenth)).otherwise(head)
+        out = F.when(n >= 10**zeros, F.concat(text, F.lit(name))).otherwise(out)
     return out
 
 
