@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark.catalogue_parts import analytics, details
 from waymark.functions import text
+from waymark.operators import terrain
 
 
 def test_capped_combos_of_a_request_without_any(spark, tmp_path):
@@ -33,3 +34,11 @@ def test_entrance_numbers_by_key_where_places_tie(spark, tmp_path):
     spark.createDataFrame(suppliers[::-1], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     got = sorted((r.no, r.s_suppkey) for r in details.entrance_numbers(spark, str(tmp_path)).collect())
     assert [k for _, k in got] == [k * 485 for k in range(200)] and [n for n, _ in got] == list(range(1, 201))
+
+
+def test_chunk_times_of_points_at_one_time(spark):
+    """The nearest point comes first, whatever the order of the rows, and only the three columns are moved."""
+    rows = [("a", 0.0, 0.0, "x"), ("a", 10.0, 100.0, "x"), ("a", 10.0, 60.0, "x")]
+    df = terrain.chunk_times(spark.createDataFrame(rows, "who string, t double, s double, other string").coalesce(1))
+    assert [(r.chunk, round(r.seconds, 6)) for r in df.orderBy("chunk").collect()] == [(0, 8.333333), (1, 1.666667)]
+    assert "other" not in next(line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FlatMapGroupsInPandas" in line)
