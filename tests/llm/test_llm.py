@@ -94,6 +94,22 @@ def test_near_duplicates_of_drifting_copies(spark):
     test_near_duplicates(spark, rows)
 
 
+def test_near_duplicates_write_few_tables(spark, monkeypatch):
+    """On tables with large groups the time went into rounds of components, each of many short stages."""
+    from waymark.plans.store import Store
+
+    put, names = Store.put, []
+    monkeypatch.setattr(Store, "put", lambda self, df, name: names.append(name) or put(self, df, name))
+    test_near_duplicates_of_drifting_copies(spark)
+    assert "links-low" in names and len(names) <= 2 * 16
+
+
+def test_near_duplicates_beyond_the_bound_of_one_task(spark, rows, monkeypatch):
+    monkeypatch.setattr(minhash, "MOST_EDGES", 2)
+    test_near_duplicates(spark, rows)
+    test_near_duplicates_of_drifting_copies(spark)
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     off = []

@@ -142,6 +142,16 @@ def test_components_of_a_chain_and_a_star(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long"), Store(spark, "t"), "c").count() == 0
 
 
+def test_components_in_one_task_are_those_of_the_rounds(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(5000 - i, 5001 - i) for i in range(70)] + [(9, 9)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    one, rounds = (sorted(map(tuple, connected_components(frame, Store(spark, "t"), "c", most=most).collect())) for most in (len(edges), 0))
+    assert one == rounds and len(one) == len({x for e in edges if e[0] != e[1] for x in e})
+    assert sorted(map(tuple, connected_components(frame, Store(spark, "t"), "c", most=5).collect())) == one  # beyond the bound
+    assert connected_components(frame.limit(0), Store(spark, "t"), "c", most=5).count() == 0
+
+
 def test_polyline_roundtrip_and_known_value():
     points = [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
     assert polyline.encode(points) == "_p~iF~ps|U_ulLnnqC_mqNvxq`@"

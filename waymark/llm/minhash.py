@@ -12,6 +12,7 @@ independent hashes, and a set of many shingles costs about one hash per shingle.
    node); components follow; buckets whose nodes are not all in one component then try a second pivot (the greatest), and
    then each node outside the first pivot's component meets every node of another component. So a bucket of near copies
    costs about one comparison per node, and no candidate pair goes undecided. A phase with no open bucket is left out.
+   Components of up to MOST_EDGES links are found in one task, beyond that by rounds of joins.
 4. A pair first needs the agreement of its sketch bits (almost six deviations below the threshold), then the exact similarity
    of both full sets, which are read again from the texts of candidates only. A pair that shares several bands is made
    in the first of them.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.operators.components import connected_components
+from waymark.operators.components import MOST_EDGES, connected_components
 from waymark.plans.store import Store
 from waymark.llm.textarrays import NOT_SPACE, Words, batches, fold, mix, shingles
 
@@ -151,7 +152,9 @@ def _alike(a: str, b: str) -> Column:
 
 
 def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
-    return df.select("key", F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *[F.col(f"b{k}").alias(f"{name}_b{k}") for k in range(2 * WORDS)], *[F.col(c).alias(f"{name}_{c}") for c in more])
+    """A node's columns for one side of a pair; further ones are named by the side too, but for the key."""
+    rest = [F.col(c).alias(c if c == "key" else f"{name}_{c}") for c in more]
+    return df.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *[F.col(f"b{k}").alias(f"{name}_b{k}") for k in range(2 * WORDS)], *rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -191,19 +194,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a, b = sets.select(F.col("node").alias("u"), F.col("values").alias("a_values")), sets.select(F.col("node").alias("v"), F.col("values").alias("b_values"))
-        full = pairs.select("u", "v").distinct().join(a.hint("merge"), "u").join(b.hint("merge"), "v")
+        full = pairs.select("u", "v").join(a.hint("merge"), "u").join(b.hint("merge"), "v")
         return store.put(full.mapInArrow(_common, "u long, v long"), name)
 
     def against(pivot: str, rows: DataFrame) -> DataFrame:
-        """Each node of a bucket with the bucket's pivot."""
-        others, tops = rows.where(F.col("node") != F.col(pivot)), rows.where(F.col("node") == F.col(pivot))
-        met = _side(others.join(facts.hint("merge"), "node"), "u").join(_side(tops.join(facts.hint("merge"), "node"), "v").hint("merge"), "key")
-        return met.where(_alike("u", "v"))
+        """Each node with the pivots of its buckets, once for each. The pivots' side is joined first: they are the hot keys, and
+        adaptive execution splits that join; by the other nodes, dealt evenly, the sets then follow without an exchange.
+        """
+        pairs = rows.where(F.col("node") != F.col(pivot)).select(F.col("node").alias("u"), F.col(pivot).alias("v")).distinct()
+        return pairs.join(_side(facts, "v").hint("merge"), "v").join(_side(facts, "u").hint("merge"), "u").where(_alike("u", "v"))
 
     def joined(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Components of those before, each a star round its root, and of further links."""
         stars = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-        return store.put(connected_components(stars.unionByName(links), store, name), f"roots-{name}")
+        return store.put(connected_components(stars.unionByName(links), store, name, MOST_EDGES), f"roots-{name}")
 
     def open_buckets(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """Of the rows those of buckets whose nodes are not yet all in one component."""
@@ -211,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
         return store.put(rows.join(several.hint("merge"), "key"), name)
 
-    roots = store.put(connected_components(verified(against("low", held), "links-low"), store, "low"), "roots-low")
+    roots = store.put(connected_components(verified(against("low", held), "links-low"), store, "low", MOST_EDGES), "roots-low")
     left = open_buckets(held, roots, "open-high")
     store.drop("buckets")
     if not left.isEmpty():
@@ -224,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         store.drop("open-rest")
         wide = nodes.select("node", "keys").join(facts.hint("merge"), "node")
         outside, every = left.where("out").join(wide.hint("merge"), "node"), left.join(wide.hint("merge"), "node")
-        rest = _side(outside, "u", "root", "low", "high", "keys", "band").join(_side(every, "v", "root", "keys", "out"), "key")
+        rest = _side(outside, "u", "key", "root", "low", "high", "keys", "band").join(_side(every, "v", "key", "root", "keys", "out"), "key")
         fresh = (F.col("u_root") != F.col("v_root")) & ~F.col("v").isin(F.col("u_low"), F.col("u_high")) & (~F.col("v_out") | (F.col("u") < F.col("v")))
         first = F.expr("array_position(zip_with(u_keys, v_keys, (x, y) -> x = y), true) = u_band + 1")
         roots = joined(roots, verified(rest.where(fresh & _alike("u", "v") & first), "links-rest"), "rest")
