@@ -104,6 +104,31 @@ def test_near_duplicates_write_few_tables(spark, monkeypatch):
     assert "links-low" in names and len(names) <= 2 * 16
 
 
+def test_near_duplicates_second_pivot_meets_other_components_only(spark, monkeypatch):
+    from waymark.plans.store import Store
+
+    put, roots, links = Store.put, {}, []
+
+    def seen(self, df, name):
+        out = put(self, df, name)
+        if name == "roots-low":
+            roots.update({r.node: r.root for r in out.collect()})
+        if name == "links-high":
+            links.extend((roots.get(r.u, r.u), roots.get(r.v, r.v)) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(Store, "put", seen)
+    rng, rows = random.Random(9), []
+    base = words(rng, 120).split()
+    for i in range(60):
+        t = list(base)
+        for k in rng.sample(range(120), rng.randrange(0, 9)):
+            t[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(t), "s"))
+    minhash.near_duplicates(frame(spark, rows)).collect()
+    assert roots and all(a != b for a, b in links)
+
+
 def test_near_duplicates_beyond_the_bound_of_one_task(spark, rows, monkeypatch):
     monkeypatch.setattr(minhash, "MOST_EDGES", 2)
     test_near_duplicates(spark, rows)

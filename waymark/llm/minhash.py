@@ -9,8 +9,8 @@ independent hashes, and a set of many shingles costs about one hash per shingle.
 1. One pass over the texts makes each document's digest of the set, band keys and two bits per bin.
 2. Equal sets collapse to a node, with map-side combine; copies never meet in a band.
 3. Nodes that share a band key are candidates. In each band bucket all nodes are first compared with a pivot (its least
-   node); components follow; buckets whose nodes are not all in one component then try a second pivot (the greatest), and
-   then each node outside the first pivot's component meets every node of another component. So a bucket of near copies
+   node); components follow; buckets whose nodes are not all in one component then try a second pivot (the greatest),
+   with those that are not in its component yet, and then each node outside the first pivot's component meets every node of another component. So a bucket of near copies
    costs about one comparison per node, and no candidate pair goes undecided. A phase with no open bucket is left out.
    Components of up to MOST_EDGES links are found in one task, beyond that by rounds of joins.
 4. A pair first needs the agreement of its sketch bits (almost six deviations below the threshold), then the exact similarity
@@ -210,17 +210,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return store.put(connected_components(stars.unionByName(links), store, name, MOST_EDGES), f"roots-{name}")
 
     def open_buckets(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-        """Of the rows those of buckets whose nodes are not yet all in one component."""
+        """Of the rows those of buckets whose nodes are not yet all in one component, with the roots of the node and of the greatest."""
         rows = rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+        several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max_by("root", "node").alias("high_root")).where("r0 < r1").select("key", "high_root")
         return store.put(rows.join(several.hint("merge"), "key"), name)
 
     roots = store.put(connected_components(verified(against("low", held), "links-low"), store, "low", MOST_EDGES), "roots-low")
     left = open_buckets(held, roots, "open-high")
     store.drop("buckets")
     if not left.isEmpty():
-        roots = joined(roots, verified(against("high", left), "links-high"), "high")
-        left = open_buckets(left.drop("root"), roots, "open-rest")
+        # What is in the pivot's component already needs no link to it.
+        links = verified(against("high", left.where("root <> high_root AND node <> low")), "links-high")
+        roots = joined(roots, links, "high")
+        left = open_buckets(left.drop("root", "high_root"), roots, "open-rest")
         store.drop("open-high")
     if not left.isEmpty():
         main = left.where("node = low").select("key", F.col("root").alias("main"))
