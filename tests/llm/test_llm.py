@@ -54,6 +54,18 @@ def test_exact_dedup(spark, rows):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_long_copies_take_few_rounds(spark, monkeypatch):
+    """Each round is a handful of jobs, whose plans and threads weigh on the driver: texts of 100 KB are over in four."""
+    put, names = exact_dedup.Store.put, []
+    monkeypatch.setattr(exact_dedup.Store, "put", lambda self, df, name: (names.append(name), put(self, df, name))[1])
+    text = words(random.Random(8), 14000)
+    assert 90_000 < len(text) < 130_000
+    rows = [(i, text + tail, "s0") for i, tail in enumerate(["", "", " x", " y"])]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
+    assert got == {0: (1, 2), 1: (1, 2), 2: (2, 1), 3: (3, 1)}
+    assert sum(n.startswith("level") for n in names) == 4
+
+
 def shingle_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", fold(t))
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

@@ -12,6 +12,7 @@ from waymark.operators import graph, requests, schedule, terrain, tracks
 from waymark.operators.changes import snapshot_diff
 from waymark.operators.components import connected_components
 from waymark.plans.campus import Rules, Weights
+from waymark.plans import store
 from waymark.plans.store import Store
 from waymark.streaming import streams
 
@@ -152,6 +153,18 @@ def test_components_in_one_task_are_those_of_the_rounds(spark):
     assert connected_components(frame.limit(0), Store(spark, "t"), "c", most=5).count() == 0
 
 
+def test_store_returns_the_drivers_freed_memory(spark, monkeypatch):
+    said = []
+    monkeypatch.setattr(store, "release", lambda s, release=store.release: said.append(release(s)))
+    held = Store(spark, "t")
+    tables = [held.put(spark.range(k + 1), f"t{k}") for k in range(2 * store.RELEASE_AFTER + 1)]
+    assert [t.count() for t in tables] == [*range(1, len(tables) + 1)]
+    assert len(said) == 2 and all("Trim native heap" in x for x in said)
+    # Where the JVM has no such command, a store goes on.
+    monkeypatch.setattr(store, "COMMAND", "noSuchCommand")
+    assert store.release(spark) is None and held.put(spark.range(3), "last").count() == 3
+
+
 def test_polyline_roundtrip_and_known_value():
     points = [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
     assert polyline.encode(points) == "_p~iF~ps|U_ulLnnqC_mqNvxq`@"

@@ -1,7 +1,7 @@
 """Exact duplicates by most-significant-digit radix partitioning.
 
 Documents are split by successive digits of their normalised text until a group is a single document or its texts have
-ended. A digit is a run of bytes (64, then four times as many in each round), so a text of n bytes takes O(log n)
+ended. A digit is a run of bytes (64, then 16 times as many in each round), so a text of n bytes takes O(log n)
 rounds; the digit itself is the key, and no digest decides equality. Each round counts groups with map-side combine and
 joins the narrow group table back; the join's two sides are plain exchanges, which adaptive execution splits where one
 group holds a large share of the rows. Only documents that still share their whole prefix are carried to the next round.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from waymark.plans.store import Store
 
 FIRST_DIGIT = 64
-GROWTH = 4
+GROWTH = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,7 +35,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the largest id stays; a null text
     is the empty text; a null id never wins over another, and is kept only if its whole group has null ids. Rows that
     repeat an id and a text are all equal to keep_id and are all marked kept. An empty table gives an empty result;
-    other columns are ignored, whatever their names. A very long text takes a round for each four times of its length, and
+    other columns are ignored, whatever their names. A very long text takes a round for each 16 times of its length, and
     is compared whole. Once done, only the tables that the result reads are left.
     """
     store = Store(docs.sparkSession, "exact")
