@@ -42,3 +42,15 @@ def test_chunk_times_of_points_at_one_time(spark):
     df = terrain.chunk_times(spark.createDataFrame(rows, "who string, t double, s double, other string").coalesce(1))
     assert [(r.chunk, round(r.seconds, 6)) for r in df.orderBy("chunk").collect()] == [(0, 8.333333), (1, 1.666667)]
     assert "other" not in next(line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FlatMapGroupsInPandas" in line)
+
+
+def test_chunk_times_between_two_points(spark):
+    """Clock times of this century add no noise to the seconds, and a task sends a walk's points together."""
+    rows = [("a", 1704067211.0, 1 / 3), ("a", 1704067211.0 + 3339, 1 / 3 + 4500), ("b", 1704067211.0, 7.0), ("c", 5.0, 0.0), ("c", 15.0, 20.0), ("c", 15.0, 60.0), ("c", 115.0, 160.0)]
+    df = terrain.chunk_times(spark.createDataFrame(rows, "who string, t double, s double"))
+    got = df.orderBy("who", "chunk").collect()
+    assert [r.chunk for r in got if r.who == "a"] == list(range(90)) and {round(r.seconds, 9) for r in got if r.who == "a"} == {37.1}
+    assert [(r.chunk, r.from_s, r.to_s, r.seconds) for r in got if r.who == "b"] == [(0, 7.0, 7.0, 0.0)]
+    assert [(r.chunk, r.from_s, r.to_s, round(r.seconds, 9)) for r in got if r.who == "c"] == [(0, 0.0, 50.0, 10.0), (1, 50.0, 100.0, 40.0), (2, 100.0, 160.0, 60.0)]
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Sort [who" in plan[plan.index("FlatMapGroupsInPandas") :]
